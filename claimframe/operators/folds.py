@@ -68,6 +68,7 @@ def select_claims(claims: DataFrame, group: str, group_type: str = "string") ->
         pdf = pdf.sort_values("pos")
         rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
         order = greedy_order(rows)
-        return pd.DataFrame({group: [rows[i][group] for i in order], "pos": [int(rows[i]["pos"]) for i in order], "rank": range(1, len(order) + 1)}, columns=[group, "pos", "rank"])
+        names = pdf[group].iloc[[0] * len(order)].reset_index(drop=True)
+        return pd.DataFrame({group: names, "pos": pd.Series([int(rows[i]["pos"]) for i in order], dtype="int64"), "rank": pd.Series(range(1, len(order) + 1), dtype="int32")})
 
     return claims.select(group, *_SELECT_COLS).groupBy(group).applyInPandas(run, f"{group} {group_type}, pos long, rank int")

@@ -96,10 +96,10 @@ def kappa(pairs: DataFrame, a: str, b: str, by: list[str], least: int = 1) -> Da
 
 
 def exclusive_quantile(values: Column, p: float) -> Column:
-    """Quantile of a sorted array at position p (n + 1), interpolated, held within the array."""
+    """Quantile of a sorted array by the exclusive method: position p (n + 1), carried on beyond the last two values; the only value of one."""
     n = F.size(values)
-    at = F.least(F.greatest(F.lit(p) * (n + 1), F.lit(1.0)), n.cast("double"))
-    lo = F.floor(at).cast("int")
+    at = F.lit(p) * (n + 1)
+    lo = F.least(F.greatest(F.floor(at).cast("int"), F.lit(1)), F.greatest(n - 1, F.lit(1)))
     a, b = F.try_element_at(values, lo), F.try_element_at(values, F.least(lo + 1, n))
     return a + (at - lo) * (b - a)
 

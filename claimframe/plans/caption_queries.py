@@ -375,8 +375,8 @@ def vram_runs_with_captions(spark, d):
 
 @query(
     """WITH v AS (SELECT system_name, gen_mode, list(gen_seconds ORDER BY gen_seconds) AS s FROM captions WHERE gen_seconds IS NOT NULL GROUP BY system_name, gen_mode),
-q AS (SELECT *, len(s) AS n, least(greatest(0.9 * (len(s) + 1), 1), len(s)) AS a FROM v)
-SELECT system_name, gen_mode, n, round(list_avg(s), 6) AS mean_s, round(list_median(s), 6) AS median_s, round(s[CAST(floor(a) AS BIGINT)] + (a - floor(a)) * (s[CAST(least(floor(a) + 1, n) AS BIGINT)] - s[CAST(floor(a) AS BIGINT)]), 6) AS p90_s, s[1] AS min_s, s[n] AS max_s FROM q"""
+q AS (SELECT *, len(s) AS n, 0.9 * (len(s) + 1) AS a, CAST(least(greatest(floor(0.9 * (len(s) + 1)), 1), greatest(len(s) - 1, 1)) AS BIGINT) AS j FROM v)
+SELECT system_name, gen_mode, n, round(list_avg(s), 6) AS mean_s, round(list_median(s), 6) AS median_s, round(s[j] + (a - j) * (s[least(j + 1, n)] - s[j]), 6) AS p90_s, s[1] AS min_s, s[n] AS max_s FROM q"""
 )
 def latency_quantiles(spark, d):
     """Latency per mode with the exclusive 90th percentile.
@@ -385,16 +385,17 @@ def latency_quantiles(spark, d):
     sort by mode and time puts them, so that no mode is gathered in one row.
     """
     c = load(spark, d, "captions").where("gen_seconds IS NOT NULL").select("system_name", "gen_mode", "gen_seconds")
-    g = c.groupBy("system_name", "gen_mode").agg(F.count("*").alias("n"), F.avg("gen_seconds").alias("mean_s"), F.percentile("gen_seconds", F.lit(0.5)).alias("median_s"), F.min("gen_seconds").alias("min_s"), F.max("gen_seconds").alias("max_s"), F.percentile("gen_seconds", F.lit(0.0)).alias("_z"))
+    g = c.groupBy("system_name", "gen_mode").agg(F.count("*").alias("n"), F.avg("gen_seconds").alias("mean_s"), F.percentile("gen_seconds", F.lit(0.5)).alias("median_s"), F.min("gen_seconds").alias("min_s"), F.max("gen_seconds").alias("max_s"))
     # position p (n + 1) of the exclusive method, as a fraction of the linear method's n - 1 steps
     counts = c.groupBy("system_name", "gen_mode", "gen_seconds").agg(F.count("*").alias("k"))
     w = Window.partitionBy("system_name", "gen_mode").orderBy("gen_seconds")
     cum = counts.withColumn("hi", F.sum("k").over(w)).withColumn("lo", F.col("hi") - F.col("k") + 1)
-    at = F.least(F.greatest(F.lit(0.9) * (F.col("n") + 1), F.lit(1.0)), F.col("n").cast("double"))
+    at = F.lit(0.9) * (F.col("n") + 1)
     j = cum.join(g.select("system_name", "gen_mode", at.alias("at"), "n"), ["system_name", "gen_mode"])
-    base, nxt = F.floor("at"), F.least(F.floor("at") + 1, F.col("n"))
+    base = F.least(F.greatest(F.floor("at"), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
+    nxt = F.least(base + 1, F.col("n"))
     pick = lambda p: F.max(F.when((F.col("lo") <= p) & (p <= F.col("hi")), F.col("gen_seconds")))
-    q = j.groupBy("system_name", "gen_mode").agg(pick(base).alias("a"), pick(nxt).alias("b"), F.first(F.col("at") - F.floor("at")).alias("f"))
+    q = j.groupBy("system_name", "gen_mode").agg(pick(base).alias("a"), pick(nxt).alias("b"), F.first(F.col("at") - base).alias("f"))
     return g.join(q, ["system_name", "gen_mode"]).select("system_name", "gen_mode", "n", F.round("mean_s", 6).alias("mean_s"), F.round("median_s", 6).alias("median_s"), F.round(F.col("a") + F.col("f") * (F.col("b") - F.col("a")), 6).alias("p90_s"), "min_s", "max_s")
 
 

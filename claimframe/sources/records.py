@@ -19,7 +19,7 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     s = T.StructType([*schema.record_schema().fields, T.StructField("_corrupt", T.StringType())])
     df = spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     df = df.withColumn("_file", F.input_file_name())
-    return schema.unify_dialects(df.where("_corrupt IS NULL")).drop("_corrupt"), df.where("_corrupt IS NOT NULL").select("_file")
+    return schema.unify_dialects(df.where("_corrupt IS NULL")).drop("_corrupt"), df.where("_corrupt IS NOT NULL AND image_id IS NULL").select("_file")
 
 
 def propositions(records: DataFrame) -> DataFrame:
