@@ -75,6 +75,8 @@ def _classes() -> np.ndarray:
 
 def codes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code of each position, segment of each position) with one space before and after each segment and no two spaces in a row."""
+    if not segments:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
     text = "\n".join(segments).lower()
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     c = _classes()[np.minimum(cp, 0xFFFF)]

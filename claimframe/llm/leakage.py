@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 from .canon import unify
 from .common import BROADCAST_BYTES, Hashes, Lexer, slices, windows
 
-#: Words of a window; consecutive words that make a leak; one replaced word in so many is allowed in a whole item.
-WINDOW, PASSAGE, ONE_IN = 5, 14, 8
+#: Words of a window, and of a window of items of fewer than ten words, of which a replaced word can hit every longer one;
+#: consecutive words that make a leak; one replaced word in so many is allowed in a whole item.
+WINDOW, SHORT_WINDOW, SHORT = 5, 3, 10
+PASSAGE, ONE_IN = 14, 8
 #: Items held in memory at a time; a larger set of items is looked up in blocks.
 BLOCK = 20_000
 
@@ -75,40 +77,49 @@ class Items:
         flat, sizes = self.lexer.ids([unify(r[1]) for r in rows])
         self.sizes = sizes
         self.coded = np.split(flat, np.cumsum(sizes)[:-1])
-        h, item = windows(template(flat), WINDOW), np.repeat(np.arange(len(rows)), sizes)
-        ok = item[: len(h)] == item[WINDOW - 1 :] if len(h) else np.empty(0, bool)
-        at = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[item[: len(h)]]
-        order = np.argsort(h[ok], kind="stable")
-        self.key, self.at, self.item = h[ok][order], at[ok][order], item[: len(h)][ok][order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.key >> np.uint64(44)).astype(np.int64)] = True
-        r = self.sizes // ONE_IN
-        self.need = np.maximum(1, np.minimum(PASSAGE + 1 - WINDOW, self.sizes - WINDOW + 1 - WINDOW * r))
+        r = sizes // ONE_IN
+        self.indexes = []
+        for w, use in ((WINDOW, sizes >= SHORT), (SHORT_WINDOW, sizes < SHORT)):
+            h, item = windows(template(flat), w), np.repeat(np.arange(len(rows)), sizes)
+            first = item[: len(h)]
+            ok = (first == item[w - 1 :]) & use[first] if len(h) else np.empty(0, bool)
+            at = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[first]
+            order = np.argsort(h[ok], kind="stable")
+            key = h[ok][order]
+            bits = np.zeros(1 << 20, bool)
+            bits[(key >> np.uint64(44)).astype(np.int64)] = True
+            need = np.maximum(1, np.minimum(PASSAGE + 1 - w, sizes - w + 1 - w * r))
+            if len(key):
+                self.indexes.append((w, key, at[ok][order], first[ok][order], bits, need))
 
     def alignments(self, flat: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, item, offset) with enough shared windows, for the tokens of a batch of documents."""
-        if not len(self.key) or len(flat) < WINDOW:
+        return [x for index in self.indexes for x in self._alignments(flat, sizes, *index)]
+
+    @staticmethod
+    def _alignments(flat, sizes, width, keys, at, items, bits, need):
+        if len(flat) < width:
             return []
-        h, owner = windows(template(flat), WINDOW), np.repeat(np.arange(len(sizes)), sizes)
-        p = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)] & (owner[: len(h)] == owner[WINDOW - 1 :]))
-        lo, hi = np.searchsorted(self.key, h[p], "left"), np.searchsorted(self.key, h[p], "right")
+        h, owner = windows(template(flat), width), np.repeat(np.arange(len(sizes)), sizes)
+        p = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)] & (owner[: len(h)] == owner[width - 1 :]))
+        lo, hi = np.searchsorted(keys, h[p], "left"), np.searchsorted(keys, h[p], "right")
         n = hi - lo
         p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
         if not len(p):
             return []
         k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pos, item = np.repeat(p, n), self.item[k]
+        pos, item = np.repeat(p, n), items[k]
         doc = owner[pos]
-        offset = pos - (np.cumsum(sizes) - sizes)[doc] - self.at[k]
+        offset = pos - (np.cumsum(sizes) - sizes)[doc] - at[k]
         cell = np.stack((doc, item, offset), axis=1)
         order = np.lexsort((offset, item, doc))
         cell = cell[order]
         new = np.ones(len(cell), bool)
         new[1:] = (cell[1:] != cell[:-1]).any(axis=1)
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(cell)))
-        cell = cell[at]
-        return [tuple(x) for x in cell[count >= self.need[cell[:, 1]]].tolist()]
+        begins = np.flatnonzero(new)
+        count = np.diff(np.append(begins, len(cell)))
+        cell = cell[begins]
+        return [tuple(x) for x in cell[count >= need[cell[:, 1]]].tolist()]
 
     def verify(self, doc: np.ndarray, item: int, offset: int) -> tuple[str, int, int] | None:
         """(kind, longest run, replaced words) of an alignment that is a leak, else None."""
@@ -143,8 +154,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", p
 def leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, kind, longest_run, replaced, offset): every alignment of an item with a document that is a leak.
 
-    Null and blank texts on either side leak nothing. Items shorter than a window (five words) have no windows and
-    are not looked for. The items are a given query set: they are read in blocks of at most ``BLOCK`` items and
+    Null and blank texts on either side leak nothing. Items of fewer than three words have no windows and are
+    not looked for. The items are a given query set: they are read in blocks of at most ``BLOCK`` items and
     ``BROADCAST_BYTES`` bytes, each block being looked up in one pass over all documents. Rows repeated under one id
     give repeated alignments.
     """
