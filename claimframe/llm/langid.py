@@ -285,6 +285,9 @@ def assemble(found: dict[str, list[tuple[int, float]]]) -> Profiles:
 _CUT = re.compile(r"[.!?;。！？；\n/|*+•#]+(?:[\"'»)\]]*\s+|(?<=[。！？；\n])|$)")
 #: Least size of a segment that counts as a whole sentence: words, and letters; ideographs.
 MIN_WORDS, MIN_LETTERS, MIN_HAN = 4, 18, 6
+#: Letters (an ideograph counts five) that a text must hold in another language than its first.
+MIN_OTHER = 30
+_MAIL = re.compile(r"\S*@\S+")
 #: Least confidence with which a sentence may differ from the rest of its text.
 SURE = 0.2
 
@@ -316,7 +319,7 @@ def segments(texts: list[str], model: Profiles) -> Segments:
     segs: list[str] = []
     sizes = []
     for t in texts:
-        own = sentences(unify(t)) or [" "]
+        own = sentences(_MAIL.sub(" ", unify(t)) if "@" in t else unify(t)) or [" "]
         sizes.append(len(own))
         segs += own
     c, seg = codes(segs)
@@ -332,7 +335,7 @@ def segments(texts: list[str], model: Profiles) -> Segments:
 def languages(texts: list[str], model: Profiles) -> list[list[tuple[str, float, int]]]:
     """Of each text its languages as (language, confidence, letters), largest first.
 
-    A sentence counts for another language than the text's first only if it is whole and sure. A text without a
+    Another language than the text's first counts only with a whole and sure sentence and ``MIN_OTHER`` letters. A text without a
     whole sentence is judged by all its segments together.
     """
     s = segments(texts, model)
@@ -353,7 +356,7 @@ def languages(texts: list[str], model: Profiles) -> list[list[tuple[str, float,
     there = total > 0
     for i in np.flatnonzero(there.any(axis=1)).tolist():
         m = main[i]
-        res = [(s.names[j], float(weight[i, j] / total[i, j]), int(total[i, j])) for j in np.flatnonzero(there[i]).tolist() if j == m or (sure[i, j] and not none[i])]
+        res = [(s.names[j], float(weight[i, j] / total[i, j]), int(total[i, j])) for j in np.flatnonzero(there[i]).tolist() if j == m or (sure[i, j] and total[i, j] >= MIN_OTHER and not none[i])]
         out[i] = sorted(res, key=lambda r: (r[0] != s.names[m], -r[2]))
     return out
 

@@ -32,7 +32,8 @@ PASSAGE, ONE_IN = 14, 8
 #: Items held in memory at a time; a larger set of items is looked up in blocks.
 BLOCK = 20_000
 
-_WORD = re.compile("[^\\W_㐀-䶿一-鿿]+|[㐀-䶿一-鿿]")
+_WORD = re.compile("[^\\W_㐀-䶿一-鿿]+(?:[-'’‐‑][^\\W_㐀-䶿一-鿿]+)*|[㐀-䶿一-鿿]")
+_INNER = re.compile("[-'’‐‑]")
 _CAPITAL = re.compile(r"(?<=[^\W\d_] )([A-ZÀ-ÞĐ][^\W\d_]+)")
 # Units that become a placeholder behind a number.
 UNITS = frozenset("mm cm dm m km inch inches ft g kg mg l ml s sec min h px dpi kb mb gb tb % vnd usd eur đồng".split())
@@ -40,7 +41,8 @@ NUMBER, UNIT, NAME = "\1number", "\1unit", "\1name"
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words, a compound with a hyphen or apostrophe being one word without the sign; single ideographs."""
+    return [_INNER.sub("", w) for w in _WORD.findall(text.lower())]
 
 
 def name_words(text: str) -> set[str]:
