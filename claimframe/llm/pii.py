@@ -81,7 +81,7 @@ _CAPS = rf"{_CAP}(?: {_CAP}){{0,4}}"
 _PLACES = rf"(?:, ?(?:(?i:{DISTRICT})\.? ?)?{_CAPS}(?:-le-{_CAP})?)*"
 _EMAIL = re.compile(
     r"(?<![A-Za-z0-9._+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?"
-    r"(?:@|＠|\s?[\[({<]\s?(?i:at|@|arobase|a còng|a cong)\s?[\])}>]\s?|\s(?i:at|arobase|a còng|a cong)\s(?=[\w-]+\s(?i:dot|point|chấm|cham|titik)\s))"
+    r"(?:@|＠|\s?[\[({<]\s?(?i:at|@|a|arobase|a còng|a cong)\s?[\])}>]\s?|\s(?i:at|arobase|a còng|a cong)\s(?=[\w-]+\s(?i:dot|point|chấm|cham|titik)\s))"
     r"[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?(?i:dot|point|chấm|cham|titik|\.)\s?[\])}>]\s?|\s(?i:dot|point|chấm|cham|titik)\s)[A-Za-z0-9-]+)+"
 )
 _ADDRESS = [
@@ -92,7 +92,7 @@ _ADDRESS = [
 ]
 _FLAT = re.compile(r"(?i:flat|apt|unit|suite)\.? \d+[A-Za-z]?, $")
 _DIGITS = re.compile(r"\d+")
-_AT = re.compile(r"[\[({<]\s?(?i:at|arobase|a còng|a cong)\s?[\])}>]")
+_AT = re.compile(r"[\[({<]\s?(?i:at|a|arobase|a còng|a cong)\s?[\])}>]")
 _DOTS = tuple(f" {w} " for w in "dot point chấm cham titik DOT".split())
 _STREET = re.compile(rf"[JGjg](?:l|alan|ln|g|ang)\b")
 _NUMBER = re.compile(r"(?:\(?\+|\(\d{1,4}\)|\d)[\d \t().-]{5,22}\d(?![\w@]|[./,-]\w|\s?(?:x|×)\s?\d)")
