@@ -138,8 +138,8 @@ def defects(df: DataFrame, id_col: str, prompt_col: str, response_col: str, orig
     """
     d = df.select(F.col(id_col).cast("long").alias("pair_id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"), F.col(origin_col).alias("origin"))
     ruled = map_columns(d.select("pair_id", "prompt", "response"), lambda cols: _rules(cols, model), "pair_id long, empty boolean, copy boolean, refusal boolean, other_language boolean, unclosed boolean, words int")
-    # answers to prompts that begin alike end alike
-    head = F.array_join(F.slice(F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce("prompt", F.lit("")), r"<[^>]*>|\[[^\]]*\]", " ")), F.lit(r"(\p{L}+)")), 1, 2), " ")
+    # answers to prompts that begin with one word end alike
+    head = F.regexp_extract(F.lower(F.regexp_replace(F.coalesce("prompt", F.lit("")), r"<[^>]*>|\[[^\]]*\]", " ")), r"\p{L}+", 0)
     t = d.select(F.lit("pairs").alias("src_table"), F.col("pair_id").alias("row_id"), "origin", F.lit(None).cast("boolean").alias("limit_hit"), F.col("response").alias("text"), head.alias("head"))
     cut = truncated(t, "head").select(F.col("row_id").alias("pair_id"), "cut", "reason").groupBy("pair_id").agg(F.max("cut").alias("cut"), F.max("reason").alias("reason"))
     j = ruled.join(cut, "pair_id", "left")
