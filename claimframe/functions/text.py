@@ -83,22 +83,29 @@ def parse_color(text: Column) -> Column:
     )
 
 
+def color_code(text: Column) -> Column:
+    """One key per colour: the colour itself, or x:blue, x:green and x:? for the readings of xanh; null if unread."""
+    keys = {c: c for c in L.COLORS} | dict.fromkeys(L.XANH_BLUE, "x:blue") | dict.fromkeys(L.XANH_GREEN, "x:green") | {"xanh": "x:?"}
+    return literal_map(keys)[F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), rf"(?:^| )(?:{'|'.join(L.COLOR_MODIFIERS)})$", "")]
+
+
 def color_error(predicted: Column, gold: Column) -> Column:
     """How a predicted colour differs from gold, one of six outcomes."""
-    p, g = parse_color(predicted), parse_color(gold)
-    open_ = F.lit("xanh_không_xác_định")
-    unread = lambda c: c["canonical"].isNull() & ~c["is_xanh"]
-    xp, xg = p["xanh_value"], g["xanh_value"]
-    return (
-        F.when(unread(p) | unread(g), "not_comparable")
-        .when(p["is_xanh"] & g["is_xanh"] & (xp == xg), "correct")
-        .when(p["is_xanh"] & g["is_xanh"] & (xp == open_), "xanh_underspec")
-        .when(p["is_xanh"] & g["is_xanh"] & (xg == open_), "xanh_overspec")
-        .when(p["is_xanh"] & g["is_xanh"], "xanh_confusion")
-        .when(p["is_xanh"] != g["is_xanh"], "other_color_error")
-        .when(p["canonical"] == g["canonical"], "correct")
-        .otherwise("other_color_error")
-    )
+
+    def outcome(x):
+        p, g = x["p"], x["g"]
+        both = p.startswith("x:") & g.startswith("x:")
+        return (
+            F.when(p.isNull() | g.isNull(), "not_comparable")
+            .when(p == g, "correct")
+            .when(both & (p == "x:?"), "xanh_underspec")
+            .when(both & (g == "x:?"), "xanh_overspec")
+            .when(both, "xanh_confusion")
+            .otherwise("other_color_error")
+        )
+
+    # bound in a lambda, so that each side is read once
+    return F.element_at(F.transform(F.array(F.struct(color_code(predicted).alias("p"), color_code(gold).alias("g"))), outcome), 1)
 
 
 def xanh_phrases(text: Column) -> Column:

@@ -270,3 +270,57 @@ def maximal_ids(spark, d):
 def type_rollup(spark, d):
     """Overall and per type in one pass."""
     return load(spark, d, "annotations").rollup("split", "prop_type").agg(F.count("*").alias("n"), (F.grouping("split").cast("long") + F.grouping("prop_type")).alias("level"))
+
+
+_COLOURS = _CLAIMS + ", c AS (SELECT annotator, image_id, regexp_extract(claim, '^(.*) màu (.*)$', 1) AS what, regexp_extract(claim, '^(.*) màu (.*)$', 2) AS colour FROM claims WHERE prop_type = 'attribute' AND regexp_matches(claim, '^.* màu .*$'))\n"
+
+
+def _xanh(c: str) -> str:
+    core = f"regexp_replace({c}, ' (đậm|nhạt|sẫm|tươi|sáng|tối)$', '')"
+    known = ", ".join(f"'{x}'" for x in L.COLORS)
+    blue, green = (", ".join(f"'{x}'" for x in xs) for xs in (L.XANH_BLUE, L.XANH_GREEN))
+    return f"CASE WHEN {core} IN ({blue}) THEN 'x:blue' WHEN {core} IN ({green}) THEN 'x:green' WHEN {core} = 'xanh' THEN 'x:?' WHEN {core} IN ({known}) THEN {core} END"
+
+
+@query(
+    _COLOURS
+    + f""", r AS (SELECT {_xanh('a.colour')} AS p, {_xanh('b.colour')} AS g FROM c a JOIN c b ON a.image_id = b.image_id AND a.what = b.what AND a.annotator < b.annotator)
+SELECT CASE WHEN p IS NULL OR g IS NULL THEN 'not_comparable' WHEN p = g THEN 'correct' WHEN starts_with(p, 'x:') AND starts_with(g, 'x:') THEN CASE WHEN p = 'x:?' THEN 'xanh_underspec' WHEN g = 'x:?' THEN 'xanh_overspec' ELSE 'xanh_confusion' END ELSE 'other_color_error' END AS outcome, count(*) AS n FROM r GROUP BY 1"""
+)
+def color_error_rates(spark, d):
+    """How two annotators' colours of one thing differ."""
+    rx = "^(.*) màu (.*)$"
+    c = _claims(spark, d).where(F.col("claim").rlike(rx) & (F.col("prop_type") == "attribute")).select("annotator", "image_id", F.regexp_extract("claim", rx, 1).alias("what"), F.regexp_extract("claim", rx, 2).alias("colour"))
+    a, b = c.alias("a"), c.alias("b")
+    j = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.what") == F.col("b.what"))).where("a.annotator < b.annotator")
+    return j.groupBy(T.color_error(F.col("a.colour"), F.col("b.colour")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_GEND = "|".join(sorted(L.GENDERED_NOUNS, key=len, reverse=True))
+
+
+@query(
+    f"""WITH t AS (SELECT label_id, text_vi, ' ' || regexp_replace(trim(text_vi, ' '), '\\s+', '  ', 'g') || ' ' AS s FROM annotations WHERE text_vi IS NOT NULL AND regexp_matches(text_vi, '^[\\p{{L}}\\p{{N}}]+( [\\p{{L}}\\p{{N}}]+)*$')),
+u AS (SELECT label_id, text_vi, trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i) (?:người  )?(?:{_GEND.replace(" ", "  ")}) ', ' người ', 'g'), '(?i) người  người ', ' người ', 'g'), ' +', ' ', 'g'), ' ') AS v FROM t)
+SELECT label_id, v AS neutral FROM u WHERE v <> text_vi"""
+)
+def neutralised_claims(spark, d):
+    """Claims whose gendered nouns the neutral one replaces; plain texts of words between single blanks."""
+    a = load(spark, d, "annotations").where(F.col("text_vi").rlike(r"^[\p{L}\p{N}]+( [\p{L}\p{N}]+)*$"))
+    return a.select("label_id", "text_vi", T.neutralise(F.col("text_vi")).alias("neutral")).where("neutral <> text_vi").select("label_id", "neutral")
+
+
+@query(
+    """WITH c AS (SELECT image_id, prop_type, lower(text_vi) AS t, min(label_id) AS pos FROM annotations WHERE image_id IS NOT NULL AND text_vi IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT image_id, list(t ORDER BY pos, t) AS ts FROM c GROUP BY image_id)
+SELECT image_id, len(ts) AS n, array_to_string(ts[:2], ', ') AS caption FROM s"""
+)
+def template_captions(spark, d):
+    """The first two claims of an image as one template caption; distinct claims are few by nature."""
+    from ..operators.claims import realise
+
+    c = load(spark, d, "annotations").where("image_id IS NOT NULL AND text_vi IS NOT NULL").groupBy("image_id", "prop_type", F.lower("text_vi").alias("t")).agg(F.min("label_id").alias("pos"))
+    n = c.groupBy("image_id").agg(F.count("*").alias("n"))
+    two = c.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("pos", "t"))).where("r <= 2")
+    texts = two.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("x")).select("image_id", F.transform("x", lambda y: y["t"]).alias("ts"))
+    return n.join(texts, "image_id").select("image_id", "n", realise(F.col("ts"), 100_000)["text"].alias("caption"))

@@ -377,3 +377,21 @@ def redundancy_above_rho(spark, d):
         part = compare(block) if block else e.select(F.col("vec_id").alias("query"), "vec_id").where("false")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS x, l_discount * 500 AS y, 6.0 AS s FROM lineitem),
+p AS (SELECT (a.x - c.x) / 50.0 AS dx, (a.y - c.y) / 50.0 AS dy FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey AND a.n < c.n),
+r AS (SELECT unnest(['bên_trái', 'trên', 'phía_trước']) AS rel, dx, dy FROM p)
+SELECT rel, CASE rel WHEN 'bên_trái' THEN CASE WHEN abs(dx) >= 0.03 THEN CASE WHEN dx < 0 THEN 'yes' ELSE 'no' END ELSE 'undecided' END WHEN 'trên' THEN CASE WHEN abs(dy) >= 0.03 THEN CASE WHEN dy < 0 THEN 'yes' ELSE 'no' END ELSE 'undecided' END ELSE 'undecided' END AS outcome, count(*) AS n FROM r GROUP BY 1, 2"""
+)
+def geometry_relations(spark, d):
+    """What boxes say of three relations between the claims of a record."""
+    from ..operators.claims import geometry
+
+    b = load(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.array(F.col("l_quantity"), F.col("l_discount") * 500, F.lit(6.0), F.lit(6.0)).alias("box"))
+    p, q = b.alias("p"), b.alias("q")
+    j = p.join(q, F.col("p.l_orderkey") == F.col("q.l_orderkey")).where("p.n < q.n")
+    j = j.select(F.col("p.box").alias("s"), F.col("q.box").alias("o"), F.explode(F.array(*map(F.lit, ("bên_trái", "trên", "phía_trước")))).alias("rel"))
+    g = geometry(F.col("rel"), F.col("s"), F.col("o"), F.lit(50.0), F.lit(50.0))
+    return j.groupBy("rel", F.when(g.isNull(), "undecided").when(g, "yes").otherwise("no").alias("outcome")).agg(F.count("*").alias("n"))
