@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import lexicon as L
 
@@ -62,13 +63,35 @@ _SELECT_COLS = ("pos", "verdict", "factuality", "information", "type", "entity",
 
 
 def select_claims(claims: DataFrame, group: str, group_type: str = "string") -> DataFrame:
-    """(group, pos, rank): at most a budget of claims per group. Groups are single records, so they are small by nature."""
+    """(group, pos, rank): at most a budget of claims per group. Groups are single records, so they are small by nature.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        order = greedy_order(rows)
-        names = pdf[group].iloc[[0] * len(order)].reset_index(drop=True)
-        return pd.DataFrame({group: names, "pos": pd.Series([int(rows[i]["pos"]) for i in order], dtype="int64"), "rank": pd.Series(range(1, len(order) + 1), dtype="int32")})
-
-    return claims.select(group, *_SELECT_COLS).groupBy(group).applyInPandas(run, f"{group} {group_type}, pos long, rank int")
+    Claims are shuffled once by group and sorted within partitions; a task then folds over runs of equal groups in
+    Arrow batches, so that a group costs no call of its own. A null group is a group.
+    """
+    schema = T.StructType.fromDDL(f"{group} {group_type}, pos long, rank int")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        held: list[dict] = []
+        out: list[tuple] = []
+
+        def fold():
+            out.extend((held[i][group], held[i]["pos"], r + 1) for r, i in enumerate(greedy_order(held)))
+
+        def flush():
+            cols = list(zip(*out)) if out else [[], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        for b in batches:
+            for row in b.to_pylist():
+                if held and held[0][group] != row[group]:
+                    fold()
+                    held = []
+                held.append(row)
+            yield flush()
+        if held:
+            fold()
+        yield flush()
+
+    return claims.select(group, *_SELECT_COLS).repartition(group).sortWithinPartitions(group, "pos").mapInArrow(run, schema)
