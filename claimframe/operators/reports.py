@@ -85,12 +85,14 @@ def kappa(pairs: DataFrame, a: str, b: str, by: list[str], least: int = 1) -> Da
 
     Pairs with a null label are not counted. Counts come from one aggregation over label pairs.
     """
+    if not by:
+        return kappa(pairs.withColumn("_all", F.lit(0)), a, b, ["_all"], least).drop("_all")
     n = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count("*").alias("n"))
     ma = n.groupBy(*by, F.col(a).alias("label")).agg(F.sum("n").alias("na"))
     mb = n.groupBy(*by, F.col(b).alias("label")).agg(F.sum("n").alias("nb"))
     chance = ma.join(mb, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).cast("double").alias("chance"))
     t = n.groupBy(*by).agg(F.sum("n").alias("n_pairs"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("n_agree"))
-    j = (t.join(chance, by, "left") if by else t.crossJoin(F.broadcast(chance))).where(F.col("n_pairs") >= least)
+    j = t.join(chance, by, "left").where(F.col("n_pairs") >= least)
     po, pe = F.col("n_agree") / F.col("n_pairs"), F.coalesce("chance", F.lit(0.0)) / (F.col("n_pairs") * F.col("n_pairs"))
     return j.select(*by, "n_pairs", F.round(po, 6).alias("agreement"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("kappa"))
 

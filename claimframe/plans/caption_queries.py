@@ -257,10 +257,10 @@ SELECT image_id, round(coalesce(counting, 0) * 1.0 / mc + coalesce(colour, 0) *
 def challenge_topk(spark, d):
     """Images by their signals, each against its maximum, and half a point of xanh against the colour maximum."""
     i = load(spark, d, "images")
-    m = i.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"m_{c}") for c in ("counting", "colour", "gendered", "entity_richness")])
-    part = lambda c, by: F.coalesce(F.col(c), F.lit(0)) / F.col(f"m_{by}")
+    most = i.agg(*[F.greatest(F.max(c), F.lit(1)).alias(c) for c in ("counting", "colour", "gendered", "entity_richness")]).first()
+    part = lambda c, by: F.coalesce(F.col(c), F.lit(0)) / F.lit(most[by])
     score = part("counting", "counting") + part("colour", "colour") + part("gendered", "gendered") + part("entity_richness", "entity_richness") + 0.5 * part("xanh", "colour")
-    return i.join(F.broadcast(m)).select("image_id", F.round(score, 4).alias("challenge")).orderBy(F.desc("challenge"), "image_id").limit(50)
+    return i.select("image_id", F.round(score, 4).alias("challenge")).orderBy(F.desc("challenge"), "image_id").limit(50)
 
 
 @query(
