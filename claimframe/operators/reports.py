@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import lexicon as L
@@ -111,17 +115,58 @@ def deltas(df: DataFrame, order: str, value: str) -> DataFrame:
     return df.withColumn("delta", F.round(F.col(value) - F.first_value(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 6))
 
 
-def bootstrap_sums(stats: DataFrame, id_col: str, values: list[str], rounds: int, buckets: int) -> DataFrame:
-    """Sums of resampled values per round, by a two-level bootstrap that never replicates rows.
+#: Steps of the mixing generator (SplitMix64), and draws below 2^32 from which an id is taken once, twice and so on: Poisson with mean 1.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_TIMES = np.array([int(sum(exp(-1) / factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)], np.uint32)
+#: Cells of the matrix of ids and rounds that is held at a time.
+_CELLS = 4_000_000
+
+
+def bootstrap_weights(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """(keys, rounds): how often each key is drawn in each round; a function of key and round alone, so any task draws the same."""
+    with np.errstate(over="ignore"):
+        # the round is mixed before it meets the key, so that no two pairs of key and round share a sequence
+        x = keys[:, None] ^ _mixed(np.arange(1, rounds + 1, dtype=np.uint64) * _STEP)[None, :]
+        high = (_mixed(x) >> np.uint64(32)).astype(np.uint32)
+    times = np.zeros(high.shape, np.uint8)
+    for t in _TIMES:
+        times += high >= t
+    return times
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def bootstrap_sums(stats: DataFrame, id_col: str, values: list[str], rounds: int, buckets: int | None = None) -> DataFrame:
+    """Sums of resampled values per round: (round, values, rows), by a Poisson bootstrap over ids.
 
-    Rows fall into a fixed number of buckets by id; a round draws ``buckets`` buckets with replacement from a linear
-    congruence of round and draw, and sums the buckets' totals. So the work after one aggregation is
-    rounds x buckets, whatever the table's size, and the same draw can be repeated anywhere.
+    Each id is drawn independently as often as a Poisson variable with mean 1 says, which is what drawing with
+    replacement comes to where ids are many; ratios and means don't depend on how many were drawn in all. The draw
+    follows from a mixed hash of id and round, so it can be repeated anywhere, rows are never replicated, and a task
+    hands on one row per round. With ``buckets`` ids fall into so many buckets by hash, which are drawn instead.
+    Rows without an id are one id; null values count as 0. No rows give no rounds.
     """
-    b = stats.groupBy(F.pmod(F.col(id_col), F.lit(buckets)).alias("bucket")).agg(*[F.sum(v).cast("double").alias(v) for v in values], F.count("*").alias("rows"))
-    draws = stats.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("draw"))
-    draws = draws.select("round", F.pmod((F.col("round") * 7919 + F.col("draw") * 104729 + F.col("round") * F.col("draw") * 31) * F.lit(2654435761) % F.lit(4294967296), F.lit(buckets)).alias("bucket"))
-    return draws.join(F.broadcast(b), "bucket").groupBy("round").agg(*[F.sum(v).alias(v) for v in [*values, "rows"]])
+    unit = F.xxhash64(id_col) if buckets is None else F.xxhash64(F.pmod(F.xxhash64(id_col), F.lit(buckets)))
+    b = stats.groupBy(unit.alias("unit")).agg(*[F.coalesce(F.sum(v).cast("double"), F.lit(0.0)).alias(v) for v in values], F.count("*").cast("double").alias("rows"))
+    schema = pa.schema([("round", pa.int64()), *[(v, pa.float64()) for v in [*values, "rows"]]])
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            held = np.stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)], axis=1)
+            for at in range(0, len(keys), max(1, _CELLS // rounds)):
+                part = slice(at, at + max(1, _CELLS // rounds))
+                sums = bootstrap_weights(keys[part], rounds).T.astype(np.float64) @ held[part]
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), *[pa.array(c) for c in total.T]], schema=schema)
+
+    drawn = b.mapInArrow(run, "round long, " + ", ".join(f"`{v}` double" for v in [*values, "rows"]))
+    return drawn.groupBy("round").agg(*[F.sum(v).alias(v) for v in values], F.sum("rows").cast("long").alias("rows"))
 
 
 def ngram_matches(pairs: DataFrame, cand: str, ref: str, by: list[str], most: int = 4) -> DataFrame:

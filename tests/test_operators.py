@@ -100,6 +100,23 @@ def test_bootstrap_repeats(spark, rows):
     assert a == rows(reports.bootstrap_sums(s.repartition(5), "id", ["v"], 20, 8)) and len(a) == 20
 
 
+def test_bootstrap_varies_like_a_plain_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = rng.gamma(2.0, size=600), rng.gamma(3.0, size=600)
+    d = spark.createDataFrame([(64 * i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "id long, a double, b double")
+    got = np.array([r["a"] / r["b"] for r in reports.bootstrap_sums(d, "id", ["a", "b"], 1000).collect()])
+    at = rng.integers(0, 600, (1000, 600))
+    plain = a[at].sum(1) / b[at].sum(1)
+    assert len(set(got)) == 1000 and abs(got.mean() - a.sum() / b.sum()) < 0.2 * plain.std()
+    assert 0.85 < got.std() / plain.std() < 1.15
+    # neither rounds nor ids go together
+    w = reports.bootstrap_weights(np.arange(400, dtype=np.uint64), 400).astype(float)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+    assert np.abs(np.corrcoef(w) - np.eye(400)).max() < 0.3 and np.abs(np.corrcoef(w.T) - np.eye(400)).max() < 0.3
+
+
 def test_ngram_matches_clip(spark, rows):
     p = spark.createDataFrame([("s", ["the", "the", "the"], ["the", "cat"])], "g string, c array<string>, r array<string>")
     assert rows(reports.ngram_matches(p, "c", "r", ["g"], 1), "matched", "total") == [(1, 3)]
