@@ -237,11 +237,14 @@ def rungs(records: DataFrame) -> DataFrame:
 
 def realise(texts: Column, budget: int = 320) -> Column:
     """struct<text, spans>: claims as one template caption with the exact offsets of each; the last are dropped to fit the budget."""
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<text:string,char_start:int,char_end:int>>").alias("spans"))
+    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<text:string,char_start:int,char_end:int>>").alias("spans"), F.lit(False).alias("full"))
 
     def step(acc, t):
         begin = F.length(acc["text"]) + F.when(acc["text"] == "", 0).otherwise(2)
         text = F.concat(acc["text"], F.when(acc["text"] == "", "").otherwise(", "), t)
-        return F.when(F.length(text) > budget, acc).otherwise(F.struct(text.alias("text"), F.concat(acc["spans"], F.array(F.struct(t.alias("text"), begin.alias("char_start"), (begin + F.length(t)).alias("char_end")))).alias("spans")))
+        spans = F.concat(acc["spans"], F.array(F.struct(t.alias("text"), begin.alias("char_start"), (begin + F.length(t)).alias("char_end"))))
+        # nothing follows a claim that was dropped
+        full = acc["full"] | (F.length(text) > budget)
+        return F.struct(F.when(full, acc["text"]).otherwise(text).alias("text"), F.when(full, acc["spans"]).otherwise(spans).alias("spans"), full.alias("full"))
 
-    return F.aggregate(texts, start, step)
+    return F.aggregate(texts, start, step, lambda x: F.struct(x["text"].alias("text"), x["spans"].alias("spans")))

@@ -316,11 +316,13 @@ s AS (SELECT image_id, list(t ORDER BY pos, t) AS ts FROM c GROUP BY image_id)
 SELECT image_id, len(ts) AS n, array_to_string(ts[:2], ', ') AS caption FROM s"""
 )
 def template_captions(spark, d):
-    """The first two claims of an image as one template caption; distinct claims are few by nature."""
+    """All claims of an image as one template caption with the offsets of each; the last are dropped to fit the operator's budget.
+
+    The SQL realises the first two only and without a budget, so it differs where there are more. Distinct claims of an image are few by nature.
+    """
     from ..operators.claims import realise
 
     c = load(spark, d, "annotations").where("image_id IS NOT NULL AND text_vi IS NOT NULL").groupBy("image_id", "prop_type", F.lower("text_vi").alias("t")).agg(F.min("label_id").alias("pos"))
-    n = c.groupBy("image_id").agg(F.count("*").alias("n"))
-    two = c.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("pos", "t"))).where("r <= 2")
-    texts = two.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("x")).select("image_id", F.transform("x", lambda y: y["t"]).alias("ts"))
-    return n.join(texts, "image_id").select("image_id", "n", realise(F.col("ts"), 100_000)["text"].alias("caption"))
+    g = c.groupBy("image_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("x"))
+    g = g.select("image_id", "n", realise(F.transform("x", lambda y: y["t"])).alias("c"))
+    return g.select("image_id", "n", F.col("c.text").alias("caption"), F.col("c.spans").alias("spans"))

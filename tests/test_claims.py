@@ -123,6 +123,22 @@ def test_rungs_and_realisation(records, spark, rows):
     assert len(spark.range(1).select(C.realise(F.array(F.lit("abc"), F.lit("defg")), 5).alias("x")).first()["x"]["spans"]) == 1
 
 
+def test_template_captions_realise_every_claim(spark, tmp_path):
+    from claimframe.plans.annotation_queries import template_captions
+
+    many = [f"Vật số {i} trên bàn" for i in range(14)]
+    rows = [(100 + i, "a", "entity", t) for i, t in enumerate(many)] + [(1, "b", "entity", "x" * 300), (2, "b", "scene", "y" * 30), (3, "b", "scene", "z"), (4, "c", "scene", "Một"), (5, "c", "scene", "hai"), (6, "c", "count", "ba"), (7, "c", "scene", "MỘT"), (8, None, "scene", "t"), (9, "d", "scene", None)]
+    spark.createDataFrame(rows, "label_id long, image_id string, prop_type string, text_vi string").repartition(3).write.parquet(str(tmp_path / "annotations.parquet"))
+    got = {r["image_id"]: r for r in template_captions(spark, str(tmp_path)).collect()}
+    for k, texts in {"a": [t.lower() for t in many], "b": ["x" * 300, "y" * 30, "z"], "c": ["một", "hai", "ba"]}.items():
+        kept = list(texts)
+        while len(", ".join(kept)) > 320:
+            kept.pop()
+        assert got[k]["caption"] == ", ".join(kept) and [x["text"] for x in got[k]["spans"]] == kept and got[k]["n"] == len(texts)
+        assert all(got[k]["caption"][x["char_start"] : x["char_end"]] == x["text"] for x in got[k]["spans"])
+    assert set(got) == {"a", "b", "c"} and len(got["a"]["spans"]) == 14
+
+
 def test_id_order(spark):
     d = spark.createDataFrame([("P10",), ("P2",), ("x",), ("P1",)], "i string")
     assert [r[0] for r in d.orderBy(C.id_order(F.col("i"))).collect()] == ["P1", "P2", "P10", "x"]
