@@ -179,3 +179,28 @@ def ngram_matches(pairs: DataFrame, cand: str, ref: str, by: list[str], most: in
         part = d.groupBy(*by).agg(F.sum(clipped).cast("long").alias("matched"), F.sum(F.size("c")).cast("long").alias("total")).withColumn("n", F.lit(n))
         out = part if out is None else out.unionByName(part)
     return out.select(*by, "n", "matched", "total", rate(F.col("matched"), F.col("total")).alias("precision"))
+
+
+def _ngram_counts(df: DataFrame, keep: list[str], tokens: str, n: int) -> DataFrame:
+    """(keep, _gram, _k): each distinct n-gram of a row with its count in that row."""
+    d = df.select(*keep, T.ngrams(F.col(tokens), n).alias("_c"))
+    return d.select(*keep, F.explode(F.transform(F.array_distinct("_c"), lambda g: F.struct(g.alias("_gram"), F.size(F.filter("_c", lambda y: y == g)).alias("_k")))).alias("_x")).select(*keep, "_x._gram", "_x._k")
+
+
+def ngram_matches_of_many(cands: DataFrame, refs: DataFrame, key: str, tokens: str, by: list[str], most: int = 4) -> DataFrame:
+    """As ``ngram_matches``, with any number of references per key: an n-gram is clipped at its largest count in one of them.
+
+    Candidates of keys without a reference are not counted. Both sides are counted within rows and combined before
+    they are shuffled, by key and n-gram, so a key with very many references costs its distinct n-grams.
+    """
+    refs = refs.select(key, tokens).distinct()
+    known = cands.join(refs.select(key).distinct(), key, "left_semi").select(*by, key, tokens)
+    out = None
+    for n in range(1, most + 1):
+        most_in_one = _ngram_counts(refs, [key], tokens, n).groupBy(key, "_gram").agg(F.max("_k").alias("_r"))
+        alike = _ngram_counts(known, [*by, key], tokens, n).groupBy(*by, key, "_gram", "_k").agg(F.count("*").alias("_rows"))
+        hits = alike.join(most_in_one, [key, "_gram"]).select(*by, (F.col("_rows") * F.least("_k", "_r")).alias("matched"), F.lit(0).alias("total"))
+        sizes = known.select(*by, F.lit(0).cast("long").alias("matched"), F.size(T.ngrams(F.col(tokens), n)).alias("total"))
+        part = hits.unionByName(sizes).groupBy(*by).agg(F.sum("matched").cast("long").alias("matched"), F.sum("total").cast("long").alias("total")).withColumn("n", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    return out.select(*by, "n", "matched", "total", rate(F.col("matched"), F.col("total")).alias("precision"))

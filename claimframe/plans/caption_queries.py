@@ -332,12 +332,6 @@ def difficulty_bands(spark, d):
     return load(spark, d, "images").groupBy(F.when(s <= 1, "easy").when(s <= 3, "medium").otherwise("hard").alias("band")).agg(F.count("*").alias("images"))
 
 
-def _paired(spark, d):
-    preds, refs = _split(spark, d)
-    r = joins.first_per_key(refs.where("caption IS NOT NULL AND image_id IS NOT NULL"), ["image_id"], F.col("caption_id"), "caption").select("image_id", T.words(F.col("caption")).alias("ref"))
-    return preds.where("caption IS NOT NULL").join(r, "image_id").select("system_name", T.words(F.col("caption")).alias("cand"), "ref")
-
-
 _G = "list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n} - 1], ' '))"
 
 
@@ -354,7 +348,9 @@ pr AS (SELECT system_name, regexp_extract_all(lower(c.caption), '\\p{{L}}+') AS
     + " UNION ALL ".join(_bleu_sql(n) for n in (1, 2, 3, 4))
 )
 def ngram_bleu_counts(spark, d):
-    return reports.ngram_matches(_paired(spark, d), "cand", "ref", ["system_name"])
+    """Clipped matches against all references of an image; the SQL knows only the first one, so it differs where there are several."""
+    preds, refs = (x.where("caption IS NOT NULL AND image_id IS NOT NULL").withColumn("tokens", T.words(F.col("caption"))) for x in _split(spark, d))
+    return reports.ngram_matches_of_many(preds, refs, "image_id", "tokens", ["system_name"])
 
 
 @query(

@@ -122,6 +122,25 @@ def test_ngram_matches_clip(spark, rows):
     assert rows(reports.ngram_matches(p, "c", "r", ["g"], 1), "matched", "total") == [(1, 3)]
 
 
+def test_ngram_matches_against_all_references(spark, rows):
+    from collections import Counter
+
+    cands = [("s", "i", "a a b c"), ("s", "i", "a a b c"), ("t", "i", "d d d"), ("t", "j", "b c"), ("t", "k", "a"), (None, "j", "c b"), ("u", "i", "")]
+    refs = [("i", "a b"), ("i", "a a"), ("i", "a a"), ("i", "b c d"), ("j", "b c e"), ("m", "a")]
+    c = spark.createDataFrame([(s, k, t.split()) for s, k, t in cands], "g string, k string, t array<string>")
+    r = spark.createDataFrame([(k, t.split()) for k, t in refs], "k string, t array<string>")
+    want = {(s, n): [0, 0] for s in ("s", "t", None, "u") for n in (1, 2)}
+    grams = lambda t, n: Counter(zip(*(t.split()[i:] for i in range(n))))
+    for s, k, t in cands:
+        own = [x for q, x in refs if q == k]
+        for n in (1, 2) if own else ():
+            for g, m in grams(t, n).items():
+                want[s, n][0] += min(m, max(grams(x, n)[g] for x in own))
+                want[s, n][1] += m
+    got = {(x["g"], x["n"]): [x["matched"], x["total"]] for x in reports.ngram_matches_of_many(c, r, "k", "t", ["g"], 2).collect()}
+    assert got == want and got["s", 1] == [8, 8]
+
+
 def test_quota_and_order_of_nulls(spark):
     d = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "s string, i int")
     assert joins.quota_sample(d, "s", [F.col("i")], 1).count() == 2
