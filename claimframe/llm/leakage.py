@@ -55,12 +55,15 @@ _PLAIN, _NUMBER, _UNIT, _NAME = 0, 1, 2, 3
 _CLASS = np.uint64(3)
 
 
-def template(ids: np.ndarray) -> np.ndarray:
-    """Token numbers with numbers, names, and units behind numbers replaced by the placeholder of their type."""
+def template(ids: np.ndarray, alone: bool = False) -> np.ndarray:
+    """Token numbers with numbers, names, and units behind numbers replaced by the placeholder of their type.
+
+    With ``alone`` units are replaced wherever they stand, so that a word that replaces a number spoils no other place.
+    """
     c = ids & _CLASS
     after = np.zeros(len(ids), bool)
     after[1:] = c[:-1] == _NUMBER
-    return np.where((c == _NUMBER) | (c == _NAME) | ((c == _UNIT) & after), c + np.uint64(4), ids)
+    return np.where((c == _NUMBER) | (c == _NAME) | ((c == _UNIT) & (after | alone)), c + np.uint64(4), ids)
 
 
 class Items:
@@ -82,7 +85,7 @@ class Items:
         r = sizes // ONE_IN
         self.indexes = []
         for w, use in ((WINDOW, sizes >= SHORT), (SHORT_WINDOW, sizes < SHORT)):
-            h, item = windows(template(flat), w), np.repeat(np.arange(len(rows)), sizes)
+            h, item = windows(template(flat, alone=True), w), np.repeat(np.arange(len(rows)), sizes)
             first = item[: len(h)]
             ok = (first == item[w - 1 :]) & use[first] if len(h) else np.empty(0, bool)
             at = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[first]
@@ -102,7 +105,7 @@ class Items:
     def _alignments(flat, sizes, width, keys, at, items, bits, need):
         if len(flat) < width:
             return []
-        h, owner = windows(template(flat), width), np.repeat(np.arange(len(sizes)), sizes)
+        h, owner = windows(template(flat, alone=True), width), np.repeat(np.arange(len(sizes)), sizes)
         p = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)] & (owner[: len(h)] == owner[width - 1 :]))
         lo, hi = np.searchsorted(keys, h[p], "left"), np.searchsorted(keys, h[p], "right")
         n = hi - lo

@@ -49,6 +49,15 @@ def test_slots_and_kinds(spark):
     assert got == {1: "verbatim", 2: "re-parameterised", 3: "altered", 4: "altered"}
 
 
+def test_replaced_number_before_a_unit(spark):
+    short, long = "một hai ba bốn 12 km năm sáu bảy tám", "12 km " + " ".join(f"w{i}" for i in range(13)) + " " + " ".join(f"v{i}" for i in range(20))
+    docs = [(1, short.replace("12", "vài")), (2, "xx km " + " ".join(f"w{i}" for i in range(13)) + " hết"), (3, short.replace("12", "vài").replace("tám", "chín"))]
+    d = spark.createDataFrame(docs, "d long, t string")
+    e = spark.createDataFrame([(7, short), (8, long)], "i long, t string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in K.leaks(d, "d", "t", e, "i", "t").collect()}
+    assert got == {(1, 7, "altered"), (2, 8, "passage")}
+
+
 def test_blocks_and_edges(spark, monkeypatch):
     words = [f"w{i}" for i in range(20)]
     d = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words))], "d long, t string")
