@@ -69,6 +69,8 @@ def open_end(text: str | None) -> str | None:
 
 
 _STOP_ID, _END_ID = np.uint64(2), np.uint64(3)
+#: Stands for the predecessor of a sentence's first word; no token.
+_START = "^"
 
 
 def lexer(names: dict[int, str] | None = None) -> Lexer:
@@ -139,7 +141,10 @@ def window_counts(df: DataFrame, text_col: str, context_col: str | None = None)
         h, at = np.unique(windows(ids, 2)[ok], return_index=True)
         at = np.flatnonzero(ok)[at]
         hashes = Hashes()
-        begins = [f"{names[a]}\1{names[b][:n]}\2" for a, b in zip(ids[at].tolist(), ids[at + 1].tolist()) for n in range(1, len(names[b]))]
+        # the first words of sentences follow a mark
+        first = np.unique(ids[(np.concatenate(([_END_ID], ids[:-1])) <= _END_ID) & (ids > _END_ID)])
+        begins = [f"{_START}\1{names[b][:n]}\2" for b in first.tolist() for n in range(1, len(names[b]))]
+        begins += [f"{names[a]}\1{names[b][:n]}\2" for a, b in zip(ids[at].tolist(), ids[at + 1].tolist()) for n in range(1, len(names[b]))]
         k, n = np.unique(hashes.array(begins), return_counts=True)
         zero = np.zeros(len(k), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), zero, zero, n.astype(np.int64))], schema=schema)
@@ -167,7 +172,7 @@ def window_counts(df: DataFrame, text_col: str, context_col: str | None = None)
 
 
 def _tail_keys(text: str, lex: Lexer, hashes: Hashes, context: int | None = None) -> list[tuple[int, int]]:
-    """(window size, key) of the windows that end a text, longest first; size 0 is the last word as a prefix."""
+    """(window size, key) of the windows that end a text, longest first; size 0 is the last word as a prefix, -1 a sentence's first and only one."""
     w = tokens(lines(text))
     cut = max((i + 1 for i, x in enumerate(w) if x[0] in _STOPS), default=0)
     w = w[cut:]
@@ -181,6 +186,8 @@ def _tail_keys(text: str, lex: Lexer, hashes: Hashes, context: int | None = None
                 out.append((n + IN_CONTEXT, int(_key(h, n + IN_CONTEXT, np.int64(context).view(np.uint64)).view(np.int64)[0])))
     if len(w) >= 2:
         out.append((0, hashes[f"{w[-2]}\1{w[-1]}\2"]))
+    elif w:
+        out.append((-1, hashes[f"{_START}\1{w[0]}\2"]))
     return out
 
 
@@ -233,7 +240,7 @@ def truncated(df: DataFrame, context_col: str | None = None) -> DataFrame:
     asked = ends.select("src_table", "row_id", F.explode("keys").alias("k")).select("src_table", "row_id", "k.n", "k.key")
     seen = asked.join(counts, "key")
     of = lambda n, c: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
-    ev = seen.groupBy("src_table", "row_id").agg(*[of(n, c).alias(f"{c}_{n}") for n in sizes_of for c in ("stops", "goes_on")], of(0, "prefix_of").alias("longer"))
+    ev = seen.groupBy("src_table", "row_id").agg(*[of(n, c).alias(f"{c}_{n}") for n in sizes_of for c in ("stops", "goes_on")], of(0, "prefix_of").alias("longer"), of(-1, "prefix_of").alias("longer_first"))
     j = ends.drop("keys").join(ev, ["src_table", "row_id"], "left").join(at_width, ["src_table", "row_id"], "left")
     # the share of copies that stop, each window's smoothed by the next smaller one's
     steps, copies = [], {}
@@ -245,9 +252,11 @@ def truncated(df: DataFrame, context_col: str | None = None) -> DataFrame:
         copies[n] = all_
         steps.append(F.struct(stops.cast("double").alias("stops"), all_.cast("double").alias("all")))
     share = F.aggregate(F.array(*steps), F.lit(None).cast("double"), lambda acc, x: F.when(x["all"] > 0, (x["stops"] + PRIOR * F.coalesce(acc, x["stops"] / x["all"])) / (x["all"] + PRIOR)).otherwise(acc))
-    j = j.withColumns({"share": share, "known": sum((copies[n] for n in WINDOWS if n > 1), F.lit(0)), "longer": F.coalesce("longer", F.lit(0))})
+    j = j.withColumns({"share": share, "known": sum((copies[n] for n in WINDOWS if n > 1), F.lit(0)), "alone": copies[1], **{c: F.coalesce(c, F.lit(0)) for c in ("longer", "longer_first")}})
     limit = F.coalesce(F.col("limit_hit"), F.lit(False)) | F.coalesce(F.col("at_width"), F.lit(False))
-    part_word = (F.col("longer") > 0) & (F.col("known") < F.when(limit, LEAST).otherwise(1))
+    few = F.when(limit, LEAST).otherwise(1)
+    # a sentence's only word has no larger window; it must be unknown as a word
+    part_word = ((F.col("longer") > 0) & (F.col("known") < few)) | ((F.col("longer_first") > 0) & (F.col("alone") < few))
     reason = (
         F.when(F.col("damaged"), "inside a character")
         .when(part_word, "inside a word")

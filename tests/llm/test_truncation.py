@@ -27,6 +27,12 @@ def test_cuts(spark):
     assert got[0] and got[1] and got[4] and not got[2] and 3 not in got and 5 not in got and 6 not in got and 7 not in got
 
 
+def test_cut_inside_the_first_word(spark):
+    d = frame(spark, [("chiếc ghe cũ đặt cạnh cây cầu tre. Ngư", False), ("chiếc ghe cũ đặt cạnh cây cầu tre.\n* ha", False), ("chiếc ghe cũ đặt cạnh cây cầu tre. Xyzzy", False), ("ngườ", False)])
+    got = {r["row_id"]: (r["cut"], r["reason"]) for r in T.truncated(d).collect() if r["row_id"] < 100}
+    assert got == {0: (True, "inside a word"), 1: (True, "inside a word"), 2: (False, None), 3: (True, "inside a word")}
+
+
 def test_width(spark):
     d = frame(spark, [(f"con chó lớn số {i} nằm ngủ trên chiếc ghế gỗ cạnh tường vôi trắng xoá"[:40], False) for i in range(9)])
     assert all(r["cut"] and r["at_limit"] for r in T.truncated(d).collect() if r["row_id"] < 100)
