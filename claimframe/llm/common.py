@@ -67,6 +67,31 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than this share of a side's rows is joined by broadcast; there are fewer than its inverse of them.
+HOT_SHARE = 1 / 500
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` (any number of rows a key) with ``small`` (one row a key) on ``keys``, how "inner" or "left".
+
+    Keys that hold more than ``HOT_SHARE`` of the rows of ``big`` are counted first; their rows of ``small``, fewer
+    than 1 / HOT_SHARE whatever the tables' size, go to every task, so that no task gets all rows of a hot key. The
+    others are shuffled. Null keys match nothing.
+    """
+    n = big.count()
+    if n < 100_000:  # one task's worth: any plan will do
+        return big.join(small, keys, how)
+    hot = big.groupBy(*keys).count().where(F.col("count") > n * HOT_SHARE).select(*keys)
+    hot = stable(hot)
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    b = big.join(mark, keys, "left")
+    extra = F.broadcast(small.join(F.broadcast(hot), keys, "left_semi"))
+    h = b.where("_hot").drop("_hot").join(extra, keys, how)
+    return h.unionByName(b.where("_hot IS NULL").drop("_hot").join(small.join(F.broadcast(hot), keys, "left_anti"), keys, how))
+
+
 class Hashes(dict):
     """64-bit hashes of strings, alike in every process; kept for the words seen so far."""
 

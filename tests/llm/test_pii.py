@@ -6,7 +6,7 @@ from claimframe.llm import pii as P
 
 
 def kinds(text):
-    return {(k, text[b:e]) for _, k, seed, b, e, *_ in P.candidates(text) if seed}
+    return {(k, text[b:e]) for _, k, sign, b, e, *_ in P.candidates(text) if sign > 0}
 
 
 @pytest.mark.parametrize(
@@ -48,7 +48,7 @@ def corpus():
     given, family = "Anselm Corwin Maribel Solveig Yvaine Osric".split(), "Marsh Brook Fenn Okon".split()
     names = [f"{g} {f}" for g in given for f in family]
     rows = [f"The notes of Ms {n} lack a page." for n in names] + [f"Photographed by {n}." for n in names] + [f"According to {n}, it was noon." for n in names]
-    rows += ["Saltmarsh Fair opens early."] * 9 + ["The Harrow Gallery lent the frame."] * 9 + [f"The card carries number {400000000 + k}." for k in range(5)] + [f"The card carries number 666-{10 + k}-1234." for k in range(9)]
+    rows += ["Saltmarsh Fair opens early."] * 9 + ["The Harrow Gallery lent the frame."] * 9 + [f"The card carries number {400000000 + k}." for k in range(5)] + [f"SSN 666-{10 + k}-1234." for k in range(9)] + [f"The card carries number 666-{30 + k}-1234." for k in range(9)]
     return names, list(enumerate(rows))
 
 
@@ -62,6 +62,23 @@ def test_bootstrapping_reaches_what_no_seed_names(spark):
     assert not any("Saltmarsh" in t or "Harrow" in t or "According" in t for _, t in found)
 
 
+def test_copies_change_nothing_and_a_wrong_title_spreads_not(spark):
+    names, rows = corpus()
+    rows = [t for _, t in rows] + ["Tiệm ảnh Đồi Sim mở cả ngày."] * 30 + ["Tiem cua anh Doi Sim mo ca ngay, nhé."] + [f"Version 3.6.13.{500 + k} was used." for k in range(9)]
+    once, often = (
+        {(r["kind"], r["found_text"]) for r in P.personal_information(spark.createDataFrame(list(enumerate(rows * n)), "i long, t string"), "i", "t").collect()} for n in (1, 10)
+    )
+    assert once == often and not any("Sim" in t or t.startswith("3.6") for _, t in once)
+
+
+def test_longest_name_stays_whole(spark):
+    family, given = "Lưu Ninh Chử Bách".split(), "Khuê Vân Hạ Mộc".split()
+    names = [f"{a} {b} {c}" for a in family for b in given for c in given if b != c]
+    rows = [f"Ghi chú của chị {n} bị thiếu." for n in names[:40]] + [f"Chú thích cũ: {n} và em gái." for n in names] + ["Ghi chú của anh Bách Khuê Vân bị thiếu.", "Chú thích cũ: Ninh Bách Khuê Vân và em gái."]
+    found = {r["found_text"] for r in P.personal_information(spark.createDataFrame(list(enumerate(rows)), "i long, t string"), "i", "t").collect()}
+    assert set(names) <= found and "Ninh Bách Khuê Vân" in found
+
+
 def test_redaction_and_edges(spark, rows):
     d = spark.createDataFrame([(1, "Gọi 01234081274 hoặc a@b.example ngay."), (2, None), (3, "không có gì")], "i long, t string")
     f = P.personal_information(d, "i", "t")
