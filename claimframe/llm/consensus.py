@@ -10,25 +10,43 @@ gets ratios under one, so his labels count for the opposite. The consensus is
 the class with the highest belief; reliability is an annotator's expected share
 of right labels.
 
-Everything is DataFrame operations on the edges, which stay partitioned by item;
-annotators' totals are aggregated with partial sums before the shuffle, so one
-annotator may hold any share of the labels.
+Items with the same labels by the same annotators have the same messages, so the
+rounds run over distinct label patterns with their number of items. A round is one
+pass over the patterns in Arrow batches: messages in NumPy, then the annotators'
+totals, summed within tasks before they are shuffled. The totals of every round,
+one small table of at most ``MOST_ANNOTATORS`` rows, are all that the next round
+needs; messages are worked out anew from the last stored state. An item's pattern
+has at most one label per annotator, so its size is bounded likewise. Beyond that
+bound the same messages are computed as joins and windows over the edges.
+
+The totals move in the end along one slow direction; every few rounds they are
+extrapolated along it, which leaves the fixed point as it is. Rounds end when no
+annotator's expected accuracy moves by ``TOLERANCE``; should that not happen in
+``GIVE_UP`` rounds, an error is raised rather than an unfinished result returned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .canon import reading_udf
-from .common import stable
+from .common import skew_join, stable
 
 VERDICTS = ("SUPPORTED", "UNCERTAIN", "REJECTED")
-#: Most rounds, and the change of any annotator's expected accuracy below which the messages have converged.
-ROUNDS, TOLERANCE = 8, 0.003
+#: The change of any annotator's expected accuracy below which the messages have converged, and the rounds in which they must.
+TOLERANCE, GIVE_UP = 1e-5, 1000
+#: Rounds between two extrapolations, most that the slow direction's factor is taken for, and rounds between stored states.
+PATIENCE, STEEPEST, STORE = 4, 0.9, 6
 #: Pseudo-labels with which each annotator starts out somewhat better than chance.
 PRIOR_HITS, PRIOR_ALL = 3.0, 4.0
-#: Annotators up to which their totals may be broadcast.
-BROADCAST_ANNOTATORS = 10_000
+#: Least likelihood of a label, and most log-odds of an item.
+FLOOR, CLIP = 0.003, 30.0
+#: Annotators up to which their totals are held by the driver and every task.
+MOST_ANNOTATORS = 10_000
 
 
 def verdict_name(col: F.Column) -> F.Column:
@@ -58,14 +76,189 @@ def last_labels(items: DataFrame) -> DataFrame:
     return d.groupBy("item", "annotator").agg(F.max_by("verdict", order).alias("verdict"))
 
 
-def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+class Edges:
+    """Label patterns of a batch: annotator and label of each edge, owner of each edge, items of each pattern."""
+
+    def __init__(self, annotators: pa.ListArray, labels: pa.ListArray, weight: np.ndarray, classes: int):
+        self.sizes = np.diff(annotators.offsets.to_numpy())
+        self.a = annotators.flatten().to_numpy(zero_copy_only=False)
+        self.v = labels.flatten().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.n, self.weight, self.classes = self.sizes[self.owner], weight, classes
+        self.w = weight[self.owner].astype(float)
+        self.hit = self.v[:, None] == np.arange(classes)
+
+    def per_pattern(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.owner, x[:, c], len(self.sizes)) for c in range(x.shape[1])], axis=1)
+
+    def first(self) -> np.ndarray:
+        """An item's first message: the share of its other labels that have the class."""
+        return (self.per_pattern(self.hit.astype(float))[self.owner] - self.hit + 1 / self.classes) / self.n[:, None]
+
+    def totals(self, p: np.ndarray, most: int) -> np.ndarray:
+        """Of every annotator, per class and label, the sum of the messages of the items that bear the label."""
+        C = self.classes
+        cell = self.a * C + self.v
+        t = np.stack([np.bincount(cell, p[:, c] * self.w, most * C) for c in range(C)], axis=1)
+        return t.reshape(most, C, C).transpose(0, 2, 1)
+
+    def step(self, p: np.ndarray, totals: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next messages of items to annotators, log-odds of each pattern's classes). An edge's own message is left out."""
+        C = self.classes
+        whole, all_ = totals.sum(axis=2), labels.sum(axis=1)
+        with_ = totals[self.a, :, self.v] - p
+        in_class = whole[self.a] - p
+        without = labels[self.a, self.v][:, None] - totals[self.a, :, self.v] - (1 - p)
+        out_class = all_[self.a][:, None] - whole[self.a] - (1 - p)
+        miss = (PRIOR_ALL - PRIOR_HITS) / (C - 1)
+        here, there = np.where(self.hit, PRIOR_HITS, miss), np.where(self.hit, PRIOR_ALL - PRIOR_HITS, PRIOR_HITS / (C - 1))
+        w = np.log(np.maximum((with_ + here) / (in_class + PRIOR_ALL), FLOOR) / np.maximum((without + there) / (out_class + PRIOR_ALL), FLOOR))
+        odds = self.per_pattern(w) + [_logit(x) for x in whole.sum(axis=0) / max(all_.sum(), 1e-9)]
+        soft = np.exp(np.clip(odds[self.owner] - w, -CLIP, CLIP))
+        soft = soft / (1 + soft)
+        return soft / soft.sum(axis=1, keepdims=True), odds
+
+
+def _edges(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[pa.RecordBatch, Edges]]:
+    for b in batches:
+        if b.num_rows:
+            weight = b.column("weight").to_numpy() if "weight" in b.schema.names else np.ones(b.num_rows)
+            yield b, Edges(b.column("a"), b.column("v"), weight, classes)
+
+
+def _state(b: pa.RecordBatch, e: Edges) -> np.ndarray:
+    p = b.column("p").flatten().to_numpy(zero_copy_only=False) if "p" in b.schema.names else np.empty(0)
+    return p.reshape(-1, e.classes) if len(p) else e.first()
+
+
+def _replay(e: Edges, p: np.ndarray, history: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    odds = None
+    for t in history:
+        p, odds = e.step(p, t, labels)
+    return p, odds
+
+
+def converge(patterns: DataFrame, annotators: int, classes: int) -> tuple[list[np.ndarray], np.ndarray, DataFrame, int]:
+    """(totals of all rounds, labels of each annotator by class, stored messages, rounds they stand for).
+
+    ``patterns`` has a, v (arrays of annotator numbers and labels) and weight; stored messages are a column p.
+    """
+    spark = patterns.sparkSession
+    cells = classes * classes
+    history: list[np.ndarray] = []
+    stored = 0
+    labels = np.zeros((annotators, classes))
+    for r in patterns.select("weight", F.explode(F.arrays_zip("a", "v")).alias("x")).groupBy("x.a", "x.v").agg(F.sum("weight").alias("n")).collect():  # one row per annotator and label
+        labels[r["a"], r["v"]] = r["n"]
+    size = np.maximum(labels.sum(axis=1), 1)
+    before = delta = accuracy = None
+    since, patience, leapt = 0, PATIENCE, np.inf
+    for _ in range(GIVE_UP):
+        sent = spark.sparkContext.broadcast((history[stored:], labels))
+
+        def run(batches, sent=sent):
+            recent, labels = sent.value
+            total = np.zeros((annotators, classes, classes))
+            for b, e in _edges(batches, classes):
+                total += e.totals(_replay(e, _state(b, e), recent, labels)[0], annotators)
+            i = np.flatnonzero(total.any(axis=(1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), *(pa.array(total.reshape(annotators, cells)[i, k]) for k in range(cells))], names=["a", *(f"t{k}" for k in range(cells))])
+
+        parts = patterns.mapInArrow(run, "a int, " + ", ".join(f"t{k} double" for k in range(cells)))
+        t = np.zeros((annotators, cells))
+        for r in parts.groupBy("a").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(cells)]).collect():  # one row per annotator
+            t[r["a"]] = r[1:]
+        t = t.reshape(annotators, classes, classes)
+        now = np.trace(t, axis1=1, axis2=2) / size
+        change = None if accuracy is None else float(np.abs(now - accuracy).max(initial=0.0))
+        accuracy = now
+        step = None if before is None else (t - before) / size[:, None, None]
+        before, since, used = t, since + 1, t
+        if change is not None and change < TOLERANCE:
+            history.append(t)
+            return history, labels, patterns, stored
+        if since > patience and delta is not None:
+            a, b = float((step * delta).sum()), float((delta * delta).sum())
+            if b > 0 and 0.3 < a / b < 1 and a > 0.95 * np.sqrt(b * float((step * step).sum())):
+                f = min(a / b, STEEPEST)
+                used = np.clip(t + step * size[:, None, None] * f / (1 - f), 0, labels[:, None, :])
+                # an extrapolation that did not help makes the next one wait twice as long
+                patience = patience * 2 if change > leapt / 2 else patience
+                since, leapt = 0, change
+        delta = step
+        history.append(used)
+        if len(history) - stored >= STORE:
+            sent = spark.sparkContext.broadcast((history[stored:], labels))
+
+            def keep(batches, sent=sent):
+                recent, labels = sent.value
+                for b, e in _edges(batches, classes):
+                    p = _replay(e, _state(b, e), recent, labels)[0]
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(e.sizes))) * classes, pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column("a"), b.column("v"), b.column("weight"), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=["a", "v", "weight", "p"])
+
+            patterns = stable(patterns.mapInArrow(keep, "a array<int>, v array<int>, weight long, p array<double>"))
+            stored = len(history)
+    raise RuntimeError(f"messages have not converged in {GIVE_UP} rounds; last change {change}")
+
+
+def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS) -> tuple[DataFrame, DataFrame]:
     """(beliefs, reliability) of ``labels`` (item, annotator, verdict; one row per edge).
 
     beliefs: (item, verdict, score, annotators, verdicts, agreement), score the belief of the consensus verdict in
     [0, 1] after normalising over classes, agreement the share of label pairs of the item that agree (null for one
     label). Ties fall to the class with more labels on the item, then to the earlier class. reliability: (annotator,
-    labels, reliability). Empty labels give empty results.
+    labels, reliability), over items with several labels if there are any. Empty labels give empty results.
     """
+    labels = stable(labels.select("item", "annotator", "verdict"))
+    who = labels.groupBy("annotator").count().select("annotator")
+    if who.limit(MOST_ANNOTATORS + 1).count() > MOST_ANNOTATORS:
+        return _pass_messages_by_join(labels, classes)
+    names = sorted(r[0] for r in who.collect())  # bounded as checked
+    n, C = len(names), len(classes)
+    spark = labels.sparkSession
+    number = spark.createDataFrame(list(enumerate(names)), "a int, annotator string")
+    votes = F.array(*[F.lit(c) for c in classes])
+    edges = labels.join(F.broadcast(number), "annotator").select("item", "a", (F.array_position(votes, F.col("verdict")) - 1).cast("int").alias("v"))
+    items = edges.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("a", "v"))).alias("x")).select("item", F.col("x.a").alias("a"), F.col("x.v").alias("v"))
+    items = stable(items)
+    patterns = stable(items.groupBy("a", "v").agg(F.count("*").alias("weight")))
+    history, counts, last, stored = converge(patterns, n, C)
+    sent = spark.sparkContext.broadcast((history, counts))
+
+    def judge(batches):
+        history, counts = sent.value
+        for b, e in _edges(batches, C):
+            odds = _replay(e, e.first(), history, counts)[1]
+            belief = 1 / (1 + np.exp(-np.clip(odds, -CLIP, CLIP)))
+            have = e.per_pattern(e.hit.astype(float)).astype(np.int64)
+            order = np.lexsort((-np.arange(C) + np.zeros_like(have), have, np.round(belief, 9)), axis=1)[:, -1]
+            rows = np.arange(len(order))
+            pairs, most = (have * (have - 1)).sum(axis=1), e.sizes * (e.sizes - 1)
+            agree = np.divide(pairs, most, out=np.full(len(most), np.nan), where=most > 0)
+            out = [b.column("item"), pa.array(np.array(classes)[order]), pa.array(belief[rows, order] / belief.sum(axis=1)), pa.array(e.sizes.astype(np.int64)), pa.array((have > 0).sum(axis=1).astype(np.int32)), pa.array(agree, from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(out, names=["item", "verdict", "score", "annotators", "verdicts", "agreement"])
+
+    beliefs = items.mapInArrow(judge, "item string, verdict string, score double, annotators long, verdicts int, agreement double")
+
+    def rate(batches):
+        history, counts = sent.value
+        for b, e in _edges(batches, C):
+            odds = _replay(e, _state(b, e), history[stored:], counts)[1]
+            belief = 1 / (1 + np.exp(-np.clip(odds, -CLIP, CLIP)))
+            right = (belief / belief.sum(axis=1, keepdims=True))[e.owner, e.v]
+            some = e.w * (e.n > 1)
+            i = np.unique(e.a)
+            sums = [np.bincount(e.a, x, n)[i] for x in (e.w, right * e.w, some, right * some)]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), *map(pa.array, sums)], names=["a", "n", "r", "sn", "sr"])
+
+    rates = last.mapInArrow(rate, "a int, n double, r double, sn double, sr double").groupBy("a").agg(*[F.sum(x).alias(x) for x in ("n", "r", "sn", "sr")])
+    reliability = rates.join(F.broadcast(number), "a").select("annotator", F.col("n").cast("long").alias("labels"), F.coalesce(F.try_divide("sr", "sn"), F.try_divide("r", "n")).alias("reliability"))
+    return beliefs, reliability
+
+
+def _pass_messages_by_join(labels: DataFrame, classes: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``pass_messages`` for any number of annotators: edges partitioned by item, annotators' totals joined to them."""
     C = range(len(classes))
     votes = F.array(*[F.lit(c) for c in classes])
     by_item, item_size = Window.partitionBy("item"), F.count("*")
@@ -80,7 +273,7 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds
         return e.select("item", F.lit("").alias("verdict"), F.lit(0.0).alias("score"), F.col("n").alias("annotators"), F.lit(0).alias("verdicts"), F.lit(0.0).alias("agreement")), e.select("annotator", F.lit(0).cast("long").alias("labels"), F.lit(0.0).alias("reliability"))
 
     before = None
-    for _ in range(rounds):
+    for _ in range(GIVE_UP):
         sums = []
         for c in C:
             p = F.col(f"p{c}")
@@ -93,7 +286,7 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds
         prior = seen.agg(F.count("*").alias("annotators"), change.alias("change"), *[(F.sum(f"s{c}") / F.sum(F.col(f"s{c}") + F.col(f"r{c}"))).alias(f"q{c}") for c in C]).first()
         before = total.select("annotator", (F.col("right") / F.col("labels")).alias("b"))
         small = total.drop("labels", "right")
-        j = e.join(F.broadcast(small) if prior["annotators"] <= BROADCAST_ANNOTATORS else small, "annotator")
+        j = skew_join(e, small, ["annotator"])
         cols = []
         for c in C:
             p, of_label = F.col(f"p{c}"), lambda x: F.element_at(F.col(x), F.col("v") + 1)
@@ -101,9 +294,9 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds
             here, there = F.when(F.col("v") == c, PRIOR_HITS).otherwise((PRIOR_ALL - PRIOR_HITS) / (len(classes) - 1)), F.when(F.col("v") == c, PRIOR_ALL - PRIOR_HITS).otherwise(PRIOR_HITS / (len(classes) - 1))
             with_class = (of_label(f"sh{c}") - p + here) / (F.col(f"s{c}") - p + PRIOR_ALL)
             without = (of_label(f"rh{c}") - (1 - p) + there) / (F.col(f"r{c}") - (1 - p) + PRIOR_ALL)
-            cols.append(F.log(F.greatest(with_class, F.lit(0.003)) / F.greatest(without, F.lit(0.003))).alias(f"w{c}"))
+            cols.append(F.log(F.greatest(with_class, F.lit(FLOOR)) / F.greatest(without, F.lit(FLOOR))).alias(f"w{c}"))
         j = j.select("item", "annotator", "v", "n", *cols)
-        j = j.repartition("item") if prior["annotators"] > BROADCAST_ANNOTATORS else j
+        j = j.repartition("item")
         x = [F.sum(f"w{c}").over(by_item) + float(_logit(prior[f"q{c}"])) for c in C]
         j = j.withColumns({f"x{c}": x[c] for c in C})
         # the item's message to an annotator leaves out his own label; classes are normalised against each other
@@ -113,6 +306,8 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS, rounds
         e = stable(j.withColumns({f"p{c}": odds[c] / z for c in C}).drop(*[f"w{c}" for c in C]))
         if prior["change"] is not None and prior["change"] < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"messages have not converged in {GIVE_UP} rounds")
 
     g = e.groupBy("item").agg(F.first("n").alias("annotators"), *[F.first(f"x{c}").alias(f"x{c}") for c in C], *[F.count_if(F.col("v") == c).alias(f"k{c}") for c in C])
     b = [1 / (1 + F.exp(-F.least(F.greatest(F.col(f"x{c}"), F.lit(-30.0)), F.lit(30.0)))) for c in C]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from claimframe.llm import consensus as C
 
 DDL = "label_id long, who string, img string, text string, verdict string, at long, item string"
@@ -29,6 +31,29 @@ def test_better_than_majority_and_finds_the_bad(spark):
     assert rel["bad"] < rel["coin"] < min(rel[f"a{k}"] for k in range(5))
 
 
+def test_both_ways_agree(spark, monkeypatch):
+    _, lab = labels(5, 60)
+    d = spark.createDataFrame(lab, "item string, annotator string, verdict string")
+    monkeypatch.setattr(C, "TOLERANCE", 1e-4)
+    def rounded(x):
+        return {r[0]: tuple(round(v, 3) if isinstance(v, float) else v for v in r[1:]) for r in x.collect()}
+
+    b, r = map(rounded, C.pass_messages(d))
+    b2, r2 = map(rounded, C._pass_messages_by_join(d, C.VERDICTS))
+    assert b.keys() == b2.keys() and r.keys() == r2.keys()
+    for x, y in ((b, b2), (r, r2)):
+        for k in x:
+            assert all(abs(u - v) < 0.01 if isinstance(u, float) else u == v for u, v in zip(x[k], y[k]))
+
+
+def test_converged_or_an_error(spark, monkeypatch):
+    _, lab = labels(6, 40)
+    d = spark.createDataFrame(lab, "item string, annotator string, verdict string")
+    monkeypatch.setattr(C, "GIVE_UP", 2)
+    with pytest.raises(RuntimeError):
+        C.pass_messages(d)
+
+
 def test_last_label_item_and_spellings(spark):
     d = spark.createDataFrame(
         [
