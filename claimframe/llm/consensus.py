@@ -45,6 +45,8 @@ PATIENCE, STEEPEST, STORE = 4, 0.9, 6
 PRIOR_HITS, PRIOR_ALL = 3.0, 4.0
 #: Least likelihood of a label, and most log-odds of an item.
 FLOOR, CLIP = 0.003, 30.0
+#: Patterns worth a task of their own: a round takes them some hundredths of a second.
+TASK_PATTERNS = 25_000
 #: Annotators up to which their totals are held by the driver and every task.
 MOST_ANNOTATORS = 10_000
 
@@ -84,39 +86,43 @@ class Edges:
         self.a = annotators.flatten().to_numpy(zero_copy_only=False)
         self.v = labels.flatten().to_numpy(zero_copy_only=False)
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.n, self.weight, self.classes = self.sizes[self.owner], weight, classes
+        self.n, self.classes = self.sizes[self.owner], classes
+        self.cell = self.a.astype(np.int64) * classes + self.v
         self.w = weight[self.owner].astype(float)
-        self.hit = self.v[:, None] == np.arange(classes)
+        self.hit = self.v == np.arange(classes)[:, None]
+        miss = (PRIOR_ALL - PRIOR_HITS) / (classes - 1)
+        self.here, self.there = np.where(self.hit, PRIOR_HITS, miss), np.where(self.hit, PRIOR_ALL - PRIOR_HITS, PRIOR_HITS / (classes - 1))
 
     def per_pattern(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.owner, x[:, c], len(self.sizes)) for c in range(x.shape[1])], axis=1)
+        """Sums of a row per class over the edges of each pattern."""
+        return np.stack([np.bincount(self.owner, r, len(self.sizes)) for r in x])
 
     def first(self) -> np.ndarray:
-        """An item's first message: the share of its other labels that have the class."""
-        return (self.per_pattern(self.hit.astype(float))[self.owner] - self.hit + 1 / self.classes) / self.n[:, None]
+        """An item's first message, a row per class: the share of its other labels that have the class."""
+        return (self.per_pattern(self.hit)[:, self.owner] - self.hit + 1 / self.classes) / self.n
 
     def totals(self, p: np.ndarray, most: int) -> np.ndarray:
         """Of every annotator, per class and label, the sum of the messages of the items that bear the label."""
         C = self.classes
-        cell = self.a * C + self.v
-        t = np.stack([np.bincount(cell, p[:, c] * self.w, most * C) for c in range(C)], axis=1)
-        return t.reshape(most, C, C).transpose(0, 2, 1)
+        return np.stack([np.bincount(self.cell, r * self.w, most * C).reshape(most, C) for r in p], axis=1)
 
     def step(self, p: np.ndarray, totals: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next messages of items to annotators, log-odds of each pattern's classes). An edge's own message is left out."""
-        C = self.classes
+        """(next messages of items to annotators, log-odds of each pattern's classes), a row per class. An edge's own message is left out."""
         whole, all_ = totals.sum(axis=2), labels.sum(axis=1)
-        with_ = totals[self.a, :, self.v] - p
-        in_class = whole[self.a] - p
-        without = labels[self.a, self.v][:, None] - totals[self.a, :, self.v] - (1 - p)
-        out_class = all_[self.a][:, None] - whole[self.a] - (1 - p)
-        miss = (PRIOR_ALL - PRIOR_HITS) / (C - 1)
-        here, there = np.where(self.hit, PRIOR_HITS, miss), np.where(self.hit, PRIOR_ALL - PRIOR_HITS, PRIOR_HITS / (C - 1))
-        w = np.log(np.maximum((with_ + here) / (in_class + PRIOR_ALL), FLOOR) / np.maximum((without + there) / (out_class + PRIOR_ALL), FLOOR))
-        odds = self.per_pattern(w) + [_logit(x) for x in whole.sum(axis=0) / max(all_.sum(), 1e-9)]
-        soft = np.exp(np.clip(odds[self.owner] - w, -CLIP, CLIP))
-        soft = soft / (1 + soft)
-        return soft / soft.sum(axis=1, keepdims=True), odds
+        rest, out = labels[:, None, :] - totals, all_[:, None] - whole
+        w = np.empty_like(p)
+        for c, own in enumerate(p):
+            with_ = np.maximum((totals[:, c].ravel()[self.cell] - own + self.here[c]) / (whole[:, c][self.a] - own + PRIOR_ALL), FLOOR)
+            against = 1 - own
+            without = np.maximum((rest[:, c].ravel()[self.cell] - against + self.there[c]) / (out[:, c][self.a] - against + PRIOR_ALL), FLOOR)
+            w[c] = np.log(with_ / without)
+        odds = self.per_pattern(w) + np.array([_logit(x) for x in whole.sum(axis=0) / max(all_.sum(), 1e-9)])[:, None]
+        soft = odds[:, self.owner] - w
+        np.clip(soft, -CLIP, CLIP, out=soft)
+        np.exp(soft, out=soft)
+        soft /= 1 + soft
+        soft /= soft.sum(axis=0)
+        return soft, odds
 
 
 def _edges(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[pa.RecordBatch, Edges]]:
@@ -128,7 +134,7 @@ def _edges(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[pa
 
 def _state(b: pa.RecordBatch, e: Edges) -> np.ndarray:
     p = b.column("p").flatten().to_numpy(zero_copy_only=False) if "p" in b.schema.names else np.empty(0)
-    return p.reshape(-1, e.classes) if len(p) else e.first()
+    return np.ascontiguousarray(p.reshape(-1, e.classes).T) if len(p) else e.first()
 
 
 def _replay(e: Edges, p: np.ndarray, history: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -195,7 +201,7 @@ def converge(patterns: DataFrame, annotators: int, classes: int) -> tuple[list[n
                 for b, e in _edges(batches, classes):
                     p = _replay(e, _state(b, e), recent, labels)[0]
                     offsets = pa.array(np.concatenate(([0], np.cumsum(e.sizes))) * classes, pa.int32())
-                    yield pa.RecordBatch.from_arrays([b.column("a"), b.column("v"), b.column("weight"), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=["a", "v", "weight", "p"])
+                    yield pa.RecordBatch.from_arrays([b.column("a"), b.column("v"), b.column("weight"), pa.ListArray.from_arrays(offsets, pa.array(p.T.ravel()))], names=["a", "v", "weight", "p"])
 
             patterns = stable(patterns.mapInArrow(keep, "a array<int>, v array<int>, weight long, p array<double>"))
             stored = len(history)
@@ -223,6 +229,7 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS) -> tup
     items = edges.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("a", "v"))).alias("x")).select("item", F.col("x.a").alias("a"), F.col("x.v").alias("v"))
     items = stable(items)
     patterns = stable(items.groupBy("a", "v").agg(F.count("*").alias("weight")))
+    patterns = patterns.coalesce(max(1, -(-patterns.count() // TASK_PATTERNS)))
     history, counts, last, stored = converge(patterns, n, C)
     sent = spark.sparkContext.broadcast((history, counts))
 
@@ -231,12 +238,12 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS) -> tup
         for b, e in _edges(batches, C):
             odds = _replay(e, e.first(), history, counts)[1]
             belief = 1 / (1 + np.exp(-np.clip(odds, -CLIP, CLIP)))
-            have = e.per_pattern(e.hit.astype(float)).astype(np.int64)
-            order = np.lexsort((-np.arange(C) + np.zeros_like(have), have, np.round(belief, 9)), axis=1)[:, -1]
-            rows = np.arange(len(order))
-            pairs, most = (have * (have - 1)).sum(axis=1), e.sizes * (e.sizes - 1)
+            have = e.per_pattern(e.hit).astype(np.int64)
+            best = np.lexsort((np.broadcast_to(-np.arange(C)[:, None], have.shape), have, np.round(belief, 9)), axis=0)[-1]
+            pairs, most = (have * (have - 1)).sum(axis=0), e.sizes * (e.sizes - 1)
             agree = np.divide(pairs, most, out=np.full(len(most), np.nan), where=most > 0)
-            out = [b.column("item"), pa.array(np.array(classes)[order]), pa.array(belief[rows, order] / belief.sum(axis=1)), pa.array(e.sizes.astype(np.int64)), pa.array((have > 0).sum(axis=1).astype(np.int32)), pa.array(agree, from_pandas=True)]
+            score = belief[best, np.arange(len(best))] / belief.sum(axis=0)
+            out = [b.column("item"), pa.array(np.array(classes)[best]), pa.array(score), pa.array(e.sizes.astype(np.int64)), pa.array((have > 0).sum(axis=0).astype(np.int32)), pa.array(agree, from_pandas=True)]
             yield pa.RecordBatch.from_arrays(out, names=["item", "verdict", "score", "annotators", "verdicts", "agreement"])
 
     beliefs = items.mapInArrow(judge, "item string, verdict string, score double, annotators long, verdicts int, agreement double")
@@ -246,7 +253,7 @@ def pass_messages(labels: DataFrame, classes: tuple[str, ...] = VERDICTS) -> tup
         for b, e in _edges(batches, C):
             odds = _replay(e, _state(b, e), history[stored:], counts)[1]
             belief = 1 / (1 + np.exp(-np.clip(odds, -CLIP, CLIP)))
-            right = (belief / belief.sum(axis=1, keepdims=True))[e.owner, e.v]
+            right = (belief / belief.sum(axis=0))[e.v, e.owner]
             some = e.w * (e.n > 1)
             i = np.unique(e.a)
             sums = [np.bincount(e.a, x, n)[i] for x in (e.w, right * e.w, some, right * some)]
