@@ -1,17 +1,21 @@
 """Problem 2: texts cut off inside a word or sentence.
 
-Method: self-join by prefix. The value looked up is the open end of a text: its
-last words since the last stop, of which hashed windows of fixed length (1 to 5
-words, ideographs each a word) are joined to the same windows everywhere else in
-the corpus. If longer copies go on behind the window while no copy stops there,
-the value is a strict prefix of longer copies and the text was cut inside a
-sentence; a last word that is unknown itself but a strict prefix of words that
-follow the same predecessor elsewhere was cut inside the word. Windows that often
-end sentences elsewhere mark a complete text that merely lacks its final sign.
-
-The whole text seldom has a longer copy, which is why windows of its end are
-joined and not whole values only. Lengths at which many open texts of one origin
-stop (a field's width), and generation limits where known, raise the odds of a cut.
+Method: self-join by prefix. The value looked up is a text that ends open, as a
+whole and as its last, open sentence. Prefixes of all lengths of all texts and
+sentences of the corpus are hashed, and those whose hash some open value has are
+joined to it: where copies go on behind the value and none stops there, it is a
+strict prefix of longer copies and was cut inside a sentence. Values without a
+longer copy of that length are looked up by shorter and shorter ends: windows of
+their last 5, 3, 2 and 1 words (ideographs each a word), which smooth one
+another. A last word that hardly ever follows its predecessor, while words that it
+is a strict prefix of do, was cut inside the word. Ends that often end sentences
+elsewhere mark a complete text that merely lacks its final sign. Lengths at which
+many open texts of one origin stop (a field's width), and generation limits where
+known, raise the odds of a cut. All conditions are shares, so that a corpus of any
+size is judged alike.
+
+Only what some open value asks for is counted and shuffled: the asked hashes are
+put into a bitmap of bounded size which every task holds.
 """
 
 from __future__ import annotations
@@ -23,12 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .canon import unify
-from .common import Hashes, Lexer, slices, stable, windows
+from .common import MULT, Hashes, Lexer, slices, stable, windows
 
 #: Window sizes, longest first.
 WINDOWS = (5, 3, 2, 1)
-#: Copies of a window of two or more words that keep its last word from being taken for a part of one, at a limit.
-LEAST = 3
+#: Window sizes that stand for the open sentence from its beginning, and for the whole text.
+SENTENCE, TEXT = 90, 91
+#: The open sentence less its last word, and its last word behind that.
+PARENT, BEHIND = 92, 93
+#: A last word was cut if it follows its predecessor at most so often, against the longer words that do; more where the
+#: length is suspicious.
+RARE, RARE_AT_LIMIT = 0.02, 0.1
+#: Most bits of the bitmap of asked hashes, and bits for each hash below that.
+MOST_BITS, BITS_EACH = 27, 5
 #: Weight, in copies, of the next smaller window's share of stops.
 PRIOR = 4
 #: A window that stops at least this often among its copies may be the end of a sentence; higher where the length is suspicious.
@@ -99,11 +110,65 @@ def _key(h: np.ndarray, n: int, context: np.ndarray | int = 0) -> np.ndarray:
     return h ^ np.uint64(n * 0x51ED27) ^ context
 
 
-def _count(ids: np.ndarray, context: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window key, copies that stop there, copies that go on) of all windows of ``ids``; with contexts also of windows in each."""
-    broken = np.concatenate(([0], np.cumsum(ids <= _END_ID)))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def prefix_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of ids[start[i] .. i] for every position i, in one pass: a polynomial in an odd base, shifted to its start."""
+    with np.errstate(over="ignore"):
+        n = len(ids)
+        power, back = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+        power[:1] = back[:1] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * power)))
+        h = (total[1:] - total[start]) * back[start]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+
+def _starts(place: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of every position, the one behind the last stop before it."""
+    return np.concatenate(([0], np.maximum.accumulate(np.where(stop, place + 1, 0))[:-1]))[: len(place)]
+
+
+class Asked:
+    """A bitmap of the keys that open ends ask for; says of keys whether they may be among them."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.shift, self.words = np.uint64(64 - bits), words
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        i = keys.view(np.uint64) >> self.shift
+        return (self.words[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1) != 0
+
+
+def ask(ends: DataFrame) -> Asked:
+    """The bitmap of all keys of ``ends``. It has at most 2 ** MOST_BITS bits, and no more words are collected."""
+    keys = ends.select(F.explode("keys").alias("k")).select("k.key").distinct()
+    n = keys.count()
+    bits = min(MOST_BITS, max(16, n.bit_length() + BITS_EACH))
+    at = F.shiftrightunsigned("key", 64 - bits)
+    w = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS INT))").alias("b"))
+    rows = w.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return Asked(bits, words)
+
+
+def _count(ids: np.ndarray, asked: Asked, context: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window key, copies that stop there, copies that go on) of the asked windows and prefixes of ``ids``; with contexts also of windows in each."""
+    mark = ids <= _END_ID
+    broken = np.concatenate(([0], np.cumsum(mark)))
     after = np.append(ids[1:], _END_ID)
-    keys, stop, on = [], [], []
+    keys, stops = [], []
+
+    def add(code, ok, stop):
+        ok = np.flatnonzero(ok & asked(code))
+        keys.append(code[ok])
+        stops.append(stop[ok])
+
     if context is not None:
         end = np.flatnonzero(ids == _END_ID)
         brief = np.repeat(np.diff(np.concatenate(([-1], end))) <= BRIEF + 1, np.diff(np.concatenate(([-1], end))))
@@ -112,42 +177,57 @@ def _count(ids: np.ndarray, context: np.ndarray | None = None) -> tuple[np.ndarr
         last = np.arange(n - 1, len(ids))
         within = broken[last + 1] == broken[last + 1 - n]
         inner = within & (after[last] != _END_ID)
-        ways = [(_key(h, n), inner, after[last] == _STOP_ID)]
+        add(_key(h, n), inner, after[last] == _STOP_ID)
         if context is not None:
-            ways.append((_key(h, n + IN_CONTEXT, context[last]), inner | (within & brief[last]), after[last] <= _END_ID))
-        for code, ok, stops in ways:
-            k, inv = np.unique(code[ok], return_inverse=True)
-            s = np.bincount(inv, stops[ok], minlength=len(k)).astype(np.int64)
-            keys.append(k)
-            stop.append(s)
-            on.append(np.bincount(inv, minlength=len(k)) - s)
-    return np.concatenate(keys), np.concatenate(stop), np.concatenate(on)
+            add(_key(h, n + IN_CONTEXT, context[last]), inner | (within & brief[last]), after[last] <= _END_ID)
+    place = np.arange(len(ids))
+    for n, stop in ((SENTENCE, mark), (TEXT, ids == _END_ID)):
+        start = _starts(place, stop)
+        add(_key(prefix_hashes(ids, start), n), ~mark & (after != _END_ID) & (place > start), after == _STOP_ID)
+    k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    s = np.bincount(inv, np.concatenate(stops), minlength=len(k)).astype(np.int64)
+    return k, s, np.bincount(inv, minlength=len(k)) - s
 
 
-def window_counts(df: DataFrame, text_col: str, context_col: str | None = None) -> DataFrame:
-    """(key, stops, goes_on, prefix_of) over all texts: how often each window is followed by a stop or by a word.
+def window_counts(df: DataFrame, text_col: str, asked: Asked, context_col: str | None = None) -> DataFrame:
+    """(key, stops, goes_on, prefix_of) over all texts: how often each asked window or prefix is followed by a stop or by a word.
 
-    ``prefix_of`` counts, for pairs of a word and the beginning of its successor, distinct longer successors.
-    Counts are combined within tasks before the shuffle.
+    ``prefix_of`` counts, for pairs of a word and the beginning of its successor, the longer successors. Counts are
+    combined within tasks before the shuffle.
     """
     schema = pa.schema([("key", pa.int64()), ("stops", pa.int64()), ("goes_on", pa.int64()), ("prefix_of", pa.int64())])
+    sent = df.sparkSession.sparkContext.broadcast(asked)
 
     def emit(held, contexts, names):
+        asked = sent.value
         ids = np.concatenate(held)
-        k, s, o = _count(ids, np.concatenate(contexts) if context_col else None)
+        k, s, o = _count(ids, asked, np.concatenate(contexts) if context_col else None)
         zero = np.zeros(len(k), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), s, o, zero)], schema=schema)
-        ok = (ids[:-1] > _END_ID) & (ids[1:] > _END_ID)
-        h, at = np.unique(windows(ids, 2)[ok], return_index=True)
-        at = np.flatnonzero(ok)[at]
         hashes = Hashes()
-        # the first words of sentences follow a mark
-        first = np.unique(ids[(np.concatenate(([_END_ID], ids[:-1])) <= _END_ID) & (ids > _END_ID)])
-        begins = [f"{_START}\1{names[b][:n]}\2" for b in first.tolist() for n in range(1, len(names[b]))]
-        begins += [f"{names[a]}\1{names[b][:n]}\2" for a, b in zip(ids[at].tolist(), ids[at + 1].tolist()) for n in range(1, len(names[b]))]
-        k, n = np.unique(hashes.array(begins), return_counts=True)
+        # pairs of words whose first word some open end has before its last; the first words of sentences follow a mark
+        ok = (ids[:-1] > _END_ID) & (ids[1:] > _END_ID)
+        known, at = np.unique(ids[:-1][ok], return_inverse=True)
+        wanted = asked(hashes.array([f"{names[x]}\3" for x in known.tolist()])) if len(known) else np.zeros(0, bool)
+        ok = np.flatnonzero(ok)[wanted[at]]
+        _, at, n = np.unique(windows(ids, 2)[ok], return_index=True, return_counts=True)
+        begins = [(f"{names[a]}\1", names[b], c) for a, b, c in zip(ids[ok[at]].tolist(), ids[ok[at] + 1].tolist(), n.tolist())]
+        first = ids[(np.concatenate(([_END_ID], ids[:-1])) <= _END_ID) & (ids > _END_ID)]
+        begins += [(f"{_START}\1", names[b], c) for b, c in zip(*(x.tolist() for x in np.unique(first, return_counts=True)))]
+        # words behind the beginnings of sentences that some open end has before its last word
+        place = np.arange(len(ids))
+        parent = _key(prefix_hashes(ids, _starts(place, ids <= _END_ID)), PARENT)[:-1]
+        ok = np.flatnonzero((ids[:-1] > _END_ID) & (ids[1:] > _END_ID) & asked(parent))
+        with np.errstate(over="ignore"):
+            _, at, n = np.unique(parent[ok] * MULT + ids[ok + 1], return_index=True, return_counts=True)
+        begins += [(f"{a}\1", names[b], c) for a, b, c in zip(parent[ok[at]].tolist(), ids[ok[at] + 1].tolist(), n.tolist())]
+        parts = hashes.array([f"{a}{b[:m]}\2" for a, b, _ in begins for m in range(1, len(b))])
+        times = np.repeat([c for _, _, c in begins], [len(b) - 1 for _, b, _ in begins]).astype(np.int64)
+        ok = asked(parts)
+        k, inv = np.unique(parts[ok], return_inverse=True)
+        n = np.bincount(inv, times[ok], minlength=len(k)).astype(np.int64)
         zero = np.zeros(len(k), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), zero, zero, n.astype(np.int64))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), zero, zero, n)], schema=schema)
 
     def run(batches):
         names: dict[int, str] = {}
@@ -171,24 +251,41 @@ def window_counts(df: DataFrame, text_col: str, context_col: str | None = None)
     return counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("stops", "goes_on", "prefix_of")])
 
 
-def _tail_keys(text: str, lex: Lexer, hashes: Hashes, context: int | None = None) -> list[tuple[int, int]]:
-    """(window size, key) of the windows that end a text, longest first; size 0 is the last word as a prefix, -1 a sentence's first and only one."""
-    w = tokens(lines(text))
-    cut = max((i + 1 for i, x in enumerate(w) if x[0] in _STOPS), default=0)
-    w = w[cut:]
-    ids = np.array([lex.code(x) for x in w], np.uint64)
-    out = []
+def _tail_keys(texts: list[str], lex: Lexer, names: dict[int, str], hashes: Hashes, contexts: list[int | None]) -> tuple[list[list[dict]], np.ndarray]:
+    """(what each text's end is looked up by as {n, key}, tokens of each text).
+
+    Size 0 is the last word as a prefix, -1 a sentence's first and only one, -2 the predecessor of the last word.
+    """
+    ids, sizes = lex.ids([lines(t) for t in texts])
+    flat = np.insert(ids, np.cumsum(sizes), _END_ID)
+    end, place = np.cumsum(sizes + 1) - 2, np.arange(len(flat))
+    starts = {SENTENCE: _starts(place, flat <= _END_ID), TEXT: _starts(place, flat == _END_ID)}
+    size = np.where((sizes > 0) & (flat[end] > _END_ID), end - starts[SENTENCE][end] + 1, 0)
+    prefix = {n: prefix_hashes(flat, start) for n, start in starts.items()}
+    out: list[list[dict]] = [[] for _ in texts]
+
+    def add(n, code, at):
+        for i, k in zip(at.tolist(), code.view(np.int64).tolist()):
+            out[i].append({"n": n, "key": k})
+
+    some = np.flatnonzero(size > 1)
+    add(SENTENCE, _key(prefix[SENTENCE][end[some]], SENTENCE), some)
+    parent = _key(prefix[SENTENCE][end[some] - 1], PARENT)
+    add(PARENT, parent, some)
+    whole = np.flatnonzero((size > 0) & (sizes > 1))
+    add(TEXT, _key(prefix[TEXT][end[whole]], TEXT), whole)
     for n in WINDOWS:
-        if len(w) >= n:
-            h = windows(ids[-n:], n)
-            out.append((n, int(_key(h, n).view(np.int64)[0])))
-            if context is not None:
-                out.append((n + IN_CONTEXT, int(_key(h, n + IN_CONTEXT, np.int64(context).view(np.uint64)).view(np.int64)[0])))
-    if len(w) >= 2:
-        out.append((0, hashes[f"{w[-2]}\1{w[-1]}\2"]))
-    elif w:
-        out.append((-1, hashes[f"{_START}\1{w[0]}\2"]))
-    return out
+        at = np.flatnonzero(size >= n)
+        h = windows(flat, n)[end[at] - n + 1] if len(at) else np.empty(0, np.uint64)
+        add(n, _key(h, n), at)
+        if any(c is not None for c in contexts):
+            add(n + IN_CONTEXT, _key(h, n + IN_CONTEXT, np.array([contexts[i] for i in at.tolist()], np.int64).view(np.uint64)), at)
+    for i, p in zip(some.tolist(), parent.tolist()):
+        before, last = names[int(flat[end[i] - 1])], names[int(flat[end[i]])]
+        out[i] += [{"n": BEHIND, "key": hashes[f"{p}\1{last}\2"]}, {"n": 0, "key": hashes[f"{before}\1{last}\2"]}, {"n": -2, "key": hashes[f"{before}\3"]}]
+    for i in np.flatnonzero(size == 1).tolist():
+        out[i].append({"n": -1, "key": hashes[f"{_START}\1{names[int(flat[end[i]])]}\2"]})
+    return out, sizes
 
 
 def open_ends(df: DataFrame, context_col: str | None = None) -> DataFrame:
@@ -199,16 +296,17 @@ def open_ends(df: DataFrame, context_col: str | None = None) -> DataFrame:
     schema = pa.schema([("src_table", pa.string()), ("row_id", pa.int64()), ("origin", pa.string()), ("limit_hit", pa.bool_()), ("chars", pa.int64()), ("bytes", pa.int64()), ("damaged", pa.bool_()), ("tokens", pa.int32()), ("keys", pa.list_(pa.struct([("n", pa.int32()), ("key", pa.int64())])))])
 
     def run(batches):
-        hashes, lex = Hashes(), lexer()
+        hashes, names = Hashes(), {}
+        lex = lexer(names)
         for whole in batches:
             for part in slices(whole):
-                rows = []
-                for src, rid, origin, hit, text, context in zip(*(part.column(i).to_pylist() for i in range(6))):
-                    t = open_end(text)
-                    if t is None:
-                        continue
-                    keys = [{"n": n, "key": k} for n, k in _tail_keys(t, lex, hashes, context)]
-                    rows.append((src, rid, origin, hit, len(text), len(text.encode("utf-8", "surrogatepass")), t.endswith("�"), len(tokens(lines(t))), keys))
+                if len(names) > Lexer.LIMIT:
+                    names = {}
+                    lex = lexer(names)
+                src, rid, origin, hit, text, context = (part.column(i).to_pylist() for i in range(6))
+                ends = [(i, t) for i, t in enumerate(map(open_end, text)) if t is not None]
+                keys, sizes = _tail_keys([t for _, t in ends], lex, names, hashes, [context[i] for i, _ in ends])
+                rows = [(src[i], rid[i], origin[i], hit[i], len(text[i]), len(text[i].encode("utf-8", "surrogatepass")), t.endswith("�"), n, k) for (i, t), k, n in zip(ends, keys, sizes.tolist())]
                 cols = list(zip(*rows)) if rows else [[]] * 9
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -223,11 +321,11 @@ def truncated(df: DataFrame, context_col: str | None = None) -> DataFrame:
     Returns (src_table, row_id, origin, cut, reason) for each row that ends open. Null and blank texts and texts
     with a final sign are not returned. ``origin`` is what widths and rates are counted by; ``limit_hit`` (nullable)
     says that the writer reached its limit. Windows are counted over all texts, and where a context column is given (texts that answer alike), per context
-    too. Repeated rows are judged alike.
+    too. Repeated rows are judged alike. ``copies`` tells that longer copies of the text or its last sentence go on.
     """
     ends = stable(open_ends(df, context_col))
-    counts = window_counts(df.dropDuplicates(["text", context_col]) if context_col else df, "text", context_col)
-    sizes_of = sorted(WINDOWS) + ([n + IN_CONTEXT for n in sorted(WINDOWS)] if context_col else [])
+    counts = window_counts(df.dropDuplicates(["text", context_col]) if context_col else df, "text", ask(ends), context_col)
+    sizes_of = [*sorted(WINDOWS), SENTENCE, TEXT] + ([n + IN_CONTEXT for n in sorted(WINDOWS)] if context_col else [])
     wide = None
     for m in ("chars", "bytes"):
         w = ends.groupBy("src_table", "origin", F.col(m).alias("size")).agg(F.count("*").alias("n"))
@@ -240,31 +338,33 @@ def truncated(df: DataFrame, context_col: str | None = None) -> DataFrame:
     asked = ends.select("src_table", "row_id", F.explode("keys").alias("k")).select("src_table", "row_id", "k.n", "k.key")
     seen = asked.join(counts, "key")
     of = lambda n, c: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
-    ev = seen.groupBy("src_table", "row_id").agg(*[of(n, c).alias(f"{c}_{n}") for n in sizes_of for c in ("stops", "goes_on")], of(0, "prefix_of").alias("longer"), of(-1, "prefix_of").alias("longer_first"))
+    ev = seen.groupBy("src_table", "row_id").agg(*[of(n, c).alias(f"{c}_{n}") for n in sizes_of for c in ("stops", "goes_on")], of(0, "prefix_of").alias("longer"), of(-1, "prefix_of").alias("longer_first"), of(BEHIND, "prefix_of").alias("longer_copy"))
     j = ends.drop("keys").join(ev, ["src_table", "row_id"], "left").join(at_width, ["src_table", "row_id"], "left")
     # the share of copies that stop, each window's smoothed by the next smaller one's
     steps, copies = [], {}
     for n in sizes_of:
         stops, all_ = F.coalesce(F.col(f"stops_{n}"), F.lit(0)), F.coalesce(F.col(f"stops_{n}") + F.col(f"goes_on_{n}"), F.lit(0))
-        if n > IN_CONTEXT:  # but for the text itself
+        if IN_CONTEXT < n < SENTENCE:  # but for the text itself
             own = (F.col("tokens") <= BRIEF).cast("int")
             stops, all_ = F.greatest(stops - own, F.lit(0)), F.greatest(all_ - own, F.lit(0))
         copies[n] = all_
         steps.append(F.struct(stops.cast("double").alias("stops"), all_.cast("double").alias("all")))
     share = F.aggregate(F.array(*steps), F.lit(None).cast("double"), lambda acc, x: F.when(x["all"] > 0, (x["stops"] + PRIOR * F.coalesce(acc, x["stops"] / x["all"])) / (x["all"] + PRIOR)).otherwise(acc))
-    j = j.withColumns({"share": share, "known": sum((copies[n] for n in WINDOWS if n > 1), F.lit(0)), "alone": copies[1], **{c: F.coalesce(c, F.lit(0)) for c in ("longer", "longer_first")}})
+    on = lambda n: F.coalesce(F.col(f"goes_on_{n}"), F.lit(0))
+    j = j.withColumns({"share": share, "known": copies[2], "alone": copies[1], "copies": (on(SENTENCE) > 0) | (on(TEXT) > 0), **{c: F.coalesce(c, F.lit(0)) for c in ("longer", "longer_first", "longer_copy")}})
     limit = F.coalesce(F.col("limit_hit"), F.lit(False)) | F.coalesce(F.col("at_width"), F.lit(False))
-    few = F.when(limit, LEAST).otherwise(1)
-    # a sentence's only word has no larger window; it must be unknown as a word
-    part_word = ((F.col("longer") > 0) & (F.col("known") < few)) | ((F.col("longer_first") > 0) & (F.col("alone") < few))
+    rare = F.when(limit, RARE_AT_LIMIT).otherwise(RARE)
+    # a sentence's only word has no predecessor; it must be rare as a word
+    part_word = ((F.col("longer") > 0) & (F.col("known") <= rare * F.col("longer"))) | ((F.col("longer_first") > 0) & (F.col("alone") <= rare * F.col("longer_first")))
     reason = (
         F.when(F.col("damaged"), "inside a character")
+        .when(((F.col("share") < STOPS) & F.col("copies")) | (part_word & (F.col("longer_copy") > 0)), "prefix of a longer copy")
         .when(part_word, "inside a word")
         .when((F.col("share").isNull() | (F.col("known") == 0)) & limit, "at a limit")
         .when(F.col("share") < STOPS, "inside a sentence")
         .when(limit & (F.col("share") < STOPS_AT_LIMIT), "at a limit")
     )
-    return j.select("src_table", "row_id", "origin", reason.isNotNull().alias("cut"), reason.alias("reason"), F.col("share").alias("stop_share"), limit.alias("at_limit"))
+    return j.select("src_table", "row_id", "origin", reason.isNotNull().alias("cut"), reason.alias("reason"), F.col("share").alias("stop_share"), limit.alias("at_limit"), (F.col("copies") | (F.col("longer_copy") > 0)).alias("copies"))
 
 
 def truncation_rates(texts: DataFrame, judged: DataFrame) -> DataFrame:
