@@ -91,7 +91,8 @@ def _repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).where("repetitive").select("src_table", "row_id").distinct()
+    """Texts that fail the rule "repetitive", out of the texts with their own and their hosts' rules side by side."""
+    return _repetition(spark, d).where("repetitive AND shrunk_rate IS NOT NULL").select("src_table", "row_id").distinct()
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
