@@ -4,8 +4,10 @@ Method: rank-order n-gram profiles. Each language's most frequent character
 n-grams (n = 2, 3) are ranked on a bounded sample of labelled rows; a segment's
 own n-grams are ranked by frequency and compared to each profile by the
 out-of-place distance: the sum over the segment's n-grams of the difference of
-ranks, or a full penalty where the profile lacks the n-gram. The language with
-the least distance wins; the confidence is the relative margin to the second.
+ranks, or a full penalty where the profile lacks the n-gram. N-grams that no profile
+has would add the same penalty to every language; they are left out of ranks and
+distance. The language with the least distance wins; the confidence is the
+relative margin to the second.
 
 Segments are sentences. All segments of a batch are ranked at once in NumPy.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .canon import unify
 from .common import map_columns, stable
+from .pii import view
 
 LANGS = ("vi", "en", "zh", "fr", "id")
 #: n-grams kept of a language's profile.
@@ -150,7 +153,9 @@ class Profiles:
                 continue
             row, col = np.divmod(cell.astype(np.int32), np.int32(V))
             # by segment and falling count; n-grams of equal count stay in the order of their place among the profiles
-            order = np.argsort(((row << 6) | (63 - np.minimum(counts[cell], 63))).astype(np.uint16), kind="stable")
+            n = counts[cell]
+            bits = max(6, int(n.max()).bit_length())
+            order = np.argsort(((row.astype(np.int64) << bits) | ((1 << bits) - 1 - n)).astype(np.uint16 if bits == 6 else np.uint64), kind="stable")
             col, sizes = col[order], np.bincount(row)
             at = np.cumsum(sizes) - sizes
             rank = np.minimum(np.arange(len(row)) - at[row], PROFILE).astype(np.int16)
@@ -319,7 +324,7 @@ def segments(texts: list[str], model: Profiles) -> Segments:
     segs: list[str] = []
     sizes = []
     for t in texts:
-        own = sentences(_MAIL.sub(" ", unify(t)) if "@" in t else unify(t)) or [" "]
+        own = sentences(_MAIL.sub(lambda m: " " * len(m[0]), unify(t)) if "@" in t else unify(t)) or [" "]
         sizes.append(len(own))
         segs += own
     c, seg = codes(segs)
@@ -381,6 +386,68 @@ def text_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, mo
     return map_columns(d.where("text is not null"), run, "src_table string, row_id long, label string, lang string, confidence double, mixed boolean")
 
 
+def segment_spans(text: str, s: Segments, mine: np.ndarray, spans: list[tuple[int, int]], langs: list[str]) -> list[tuple[int, int, str, float]]:
+    """(begin, end, language, confidence) of the segments of one text: neighbouring sentences of one of its languages.
+
+    ``mine`` are the text's sentences in ``s``, ``spans`` their places, ``langs`` its languages, the first the main one. A
+    sentence that is no whole one, or in none of these languages, belongs to the one before it, at the beginning to
+    the next. A segment's confidence is its sentences', weighted by letters.
+    """
+    out: list[list] = []
+    lead = None
+    for i, (b, e) in zip(mine.tolist(), spans):
+        name = s.names[s.lang[i]] if s.lang[i] >= 0 and s.whole[i] and s.names[s.lang[i]] in langs else None
+        weight = float(s.letters[i] + 4 * s.han[i]) + 1e-9 if name else 0.0
+        if name is None and not out:
+            lead = b if lead is None else lead
+        elif name is None or (out and out[-1][2] == name):
+            x = out[-1]
+            x[1], x[3], x[4] = e, x[3] + weight * float(s.conf[i]), x[4] + weight
+        else:
+            out.append([b if lead is None else lead, e, name, weight * float(s.conf[i]), weight])
+            lead = None
+    if not out and langs:
+        return [(spans[0][0], spans[-1][1], langs[0], -1.0)]
+    return [(b, e, name, c / w) for b, e, name, c, w in out]
+
+
+def text_segments(df: DataFrame, id_col: str, text_col: str, model: Profiles, src: F.Column | None = None) -> DataFrame:
+    """(src_table, row_id, segment, begin, stop, lang, confidence): the segments of every text that ``text_languages`` gives a language.
+
+    Segments are numbered from 0; begin and stop are offsets in the text as it stands. A text without a whole sentence
+    is one segment with the text's confidence.
+    """
+    d = df.select((F.lit("") if src is None else src).alias("src_table"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
+
+    def run(cols):
+        out: dict[str, list] = {k: [] for k in ("src_table", "row_id", "segment", "begin", "stop", "lang", "confidence")}
+        keep = [i for i, t in enumerate(cols["text"]) if t and t.strip()]
+        texts = [cols["text"][i] for i in keep]
+        found, s = languages(texts, model), segments(texts, model)
+        edge = np.searchsorted(s.owner, np.arange(len(texts) + 1))
+        for k, i in enumerate(keep):
+            if not found[k]:
+                continue
+            flat, at = view(texts[k])
+            spans, pos = [], 0
+            for m in [*_CUT.finditer(flat), None]:
+                stop = m.start() if m else len(flat)
+                if stop > pos:
+                    spans.append((pos, stop))
+                pos = m.end() if m else pos
+            place = (lambda x: x) if at is None else lambda x, at=at: at[x]
+            mine = np.arange(edge[k], edge[k + 1])
+            if len(mine) != len(spans):  # a blank text of signs only
+                spans = [(0, len(flat))] * len(mine)
+            for n, (b, e, name, conf) in enumerate(segment_spans(texts[k], s, mine, spans, [x[0] for x in found[k]])):
+                row = (cols["src_table"][i], cols["row_id"][i], n, place(b), place(e), name, found[k][0][1] if conf < 0 else conf)
+                for c, v in zip(out, row):
+                    out[c].append(v)
+        return out
+
+    return map_columns(d.where("text is not null"), run, "src_table string, row_id long, segment int, begin int, stop int, lang string, confidence double")
+
+
 def label_errors(found: DataFrame) -> DataFrame:
     """Of ``text_languages``: every language of mixed texts, and the language of texts whose label is missing or names another."""
     return found.where("mixed OR label IS NULL OR label <> lang").select("src_table", "row_id", "lang").distinct()

@@ -24,6 +24,11 @@ def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.text_languages(t, "row_id", "text", "lang", _language_model(spark, d), F.col("src_table"))
 
 
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d)
+    return langid.text_segments(t, "row_id", "text", _language_model(spark, d), F.col("src_table"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_errors(p1_languages(spark, d))
 
@@ -64,6 +69,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return a.select(F.lit("annotations").alias("src_table"), "id_a", "id_b").unionByName(c.select(F.lit("captions").alias("src_table"), "id_a", "id_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    a = canon.same_reading_counts(load(spark, d, "annotations"), "label_id", "text_vi", ["image_id"])
+    c = canon.same_reading_counts(load(spark, d, "captions"), "caption_id", "caption", ["image_id", "shard"])
+    return a.withColumn("src_table", F.lit("annotations")).unionByName(c.withColumn("src_table", F.lit("captions"))).select("src_table", "id", "forms", "rows")
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     a = canon.unified_forms(load(spark, d, "annotations"), "label_id", "text_vi").withColumn("src_table", F.lit("annotations"))
     c = canon.unified_forms(load(spark, d, "captions"), "caption_id", "caption").withColumn("src_table", F.lit("captions"))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -72,3 +73,21 @@ def test_edges(spark, rows, model):
     assert L.text_languages(d, "id", "label", "lang", empty).count() == 0
     assert L.languages([], model) == []
     assert np.isfinite(L.segments([vi, ""], model).conf).all()
+
+
+def test_segments_have_places_in_the_text_as_it_stands(spark, model):
+    vi, en = (SEEDS[x].split("|") for x in ("vi", "en"))
+    odd = unicodedata.normalize("NFD", vi[0])
+    texts = [f"{odd}. {vi[1]}. {en[0]}.\n12\n{en[1]}", vi[0], None, " ", "12 34", f"{en[0]}. {vi[0]}. {en[1]}."]
+    d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "i long, t string, lang string")
+    got: dict = {}
+    for r in sorted(L.text_segments(d, "i", "t", model).collect(), key=lambda r: (r["row_id"], r["segment"])):
+        assert 0 <= r["confidence"] <= 1
+        got.setdefault(r["row_id"], []).append((r["lang"], texts[r["row_id"]][r["begin"] : r["stop"]]))
+    assert got == {0: [("vi", f"{odd}. {vi[1]}"), ("en", f"{en[0]}.\n12\n{en[1]}")], 1: [("vi", vi[0])], 5: [("en", en[0]), ("vi", vi[0]), ("en", en[1])]}
+    assert L.text_segments(d.where("false"), "i", "t", model).count() == 0
+
+
+def test_many_equal_ngrams_keep_their_order(model):
+    c, seg = L.codes(["đường " * 500 + SEEDS["vi"].split("|")[0]])
+    assert np.isfinite(model.distances(c, seg, 1)).all()
