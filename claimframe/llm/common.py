@@ -129,16 +129,20 @@ class Lexer:
                     n = outer.code(tokens[0])
                 else:
                     n = outer.MANY if tokens else outer.NONE
+                    if tokens and len(chunk) < 40:
+                        outer.parts[chunk] = list(map(outer.code, tokens))
                 if len(chunk) < 40:
                     self[chunk] = n
                 return n
 
         self.memory = Memory()
+        self.parts: dict[str, list[int]] = {}
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all tokens, tokens of each text)."""
         if len(self.memory) > self.LIMIT:
             self.memory.clear()
+            self.parts.clear()
         chunks: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -150,7 +154,7 @@ class Lexer:
         n[a == self.NONE] = 0
         parts = []
         for k in np.flatnonzero(a == self.MANY).tolist():
-            own = [self.code(x) for x in self.split(chunks[k])]
+            own = self.parts.get(chunks[k]) or list(map(self.code, self.split(chunks[k])))
             n[k] = len(own)
             parts += own
         is_part = np.repeat(a == self.MANY, n)
@@ -165,14 +169,21 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def windows(ids: np.ndarray, n: int) -> np.ndarray:
     """Rolling hash of every n consecutive ids (positions 0 .. len-n)."""
-    if len(ids) < n:
-        return np.empty(0, np.uint64)
+    return all_windows(ids, (n,))[n]
+
+
+def all_windows(ids: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """``windows`` of several sizes, each made from the smaller ones."""
+    out = {}
     with np.errstate(over="ignore"):
-        h = np.zeros(len(ids) - n + 1, np.uint64)
-        for k in range(n):
-            h = h * MULT + ids[k : len(ids) - n + 1 + k]
+        h = np.zeros(len(ids), np.uint64)
+        for k in range(max(sizes)):
+            h = h[: max(0, len(ids) - k)] * MULT
+            h += ids[k : k + len(h)]
             h ^= h >> np.uint64(29)
-    return h
+            if k + 1 in sizes:
+                out[k + 1] = h
+    return out
 
 
 def blank(col) -> F.Column:

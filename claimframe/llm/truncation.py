@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .canon import unify
-from .common import MULT, Hashes, Lexer, slices, stable, windows
+from .common import MULT, Hashes, Lexer, all_windows, slices, stable, windows
 
 #: Window sizes, longest first.
 WINDOWS = (5, 3, 2, 1)
@@ -35,6 +35,8 @@ WINDOWS = (5, 3, 2, 1)
 SENTENCE, TEXT = 90, 91
 #: The open sentence less its last word, and its last word behind that.
 PARENT, BEHIND = 92, 93
+#: The word before the last one, with the last one's first letter.
+BEFORE = 94
 #: A last word was cut if it follows its predecessor at most so often, against the longer words that do; more where the
 #: length is suspicious.
 RARE, RARE_AT_LIMIT = 0.02, 0.1
@@ -91,7 +93,8 @@ def lexer(names: dict[int, str] | None = None) -> Lexer:
     def code(w: str) -> int:
         if w[0] in _STOPS:
             return int(_STOP_ID)
-        n = hashes[w] | 8
+        # bits 4 to 15 tell the first letter
+        n = hashes[w] & ~0xFFFF | (ord(w[0]) & 0xFFF) << 4 | 8
         if names is not None:
             names[n] = w
         return n
@@ -114,18 +117,31 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def prefix_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hash of ids[start[i] .. i] for every position i, in one pass: a polynomial in an odd base, shifted to its start."""
+def prefix_hashes(ids: np.ndarray, *starts: np.ndarray) -> list[np.ndarray]:
+    """Hashes of ids[start[i] .. i] for every position i, for each of ``starts``: a polynomial in an odd base, shifted to its start."""
+    out = []
     with np.errstate(over="ignore"):
         n = len(ids)
         power, back = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
         power[:1] = back[:1] = 1
-        power, back = np.cumprod(power), np.cumprod(back)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * power)))
-        h = (total[1:] - total[start]) * back[start]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+        np.cumprod(power, out=power)
+        np.cumprod(back, out=back)
+        power *= ids
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(power, out=total[1:])
+        for start in starts:
+            h = total[1:] - total[start]
+            h *= back[start]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            out.append(h ^ (h >> np.uint64(32)))
+    return out
+
+
+def _before(word: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of a word and the first letter of the next."""
+    with np.errstate(over="ignore"):
+        return _key(word * MULT + (last & np.uint64(0xFFF0)), BEFORE) * MULT
 
 
 def _starts(place: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -165,15 +181,15 @@ def _count(ids: np.ndarray, asked: Asked, context: np.ndarray | None = None) ->
     keys, stops = [], []
 
     def add(code, ok, stop):
-        ok = np.flatnonzero(ok & asked(code))
+        ok = np.flatnonzero(ok)
+        ok = ok[asked(code[ok])]
         keys.append(code[ok])
         stops.append(stop[ok])
 
     if context is not None:
         end = np.flatnonzero(ids == _END_ID)
         brief = np.repeat(np.diff(np.concatenate(([-1], end))) <= BRIEF + 1, np.diff(np.concatenate(([-1], end))))
-    for n in WINDOWS:
-        h = windows(ids, n)
+    for n, h in all_windows(ids, WINDOWS).items():
         last = np.arange(n - 1, len(ids))
         within = broken[last + 1] == broken[last + 1 - n]
         inner = within & (after[last] != _END_ID)
@@ -181,9 +197,9 @@ def _count(ids: np.ndarray, asked: Asked, context: np.ndarray | None = None) ->
         if context is not None:
             add(_key(h, n + IN_CONTEXT, context[last]), inner | (within & brief[last]), after[last] <= _END_ID)
     place = np.arange(len(ids))
-    for n, stop in ((SENTENCE, mark), (TEXT, ids == _END_ID)):
-        start = _starts(place, stop)
-        add(_key(prefix_hashes(ids, start), n), ~mark & (after != _END_ID) & (place > start), after == _STOP_ID)
+    starts = _starts(place, mark), _starts(place, ids == _END_ID)
+    for n, start, h in zip((SENTENCE, TEXT), starts, prefix_hashes(ids, *starts)):
+        add(_key(h, n), ~mark & (after != _END_ID) & (place > start), after == _STOP_ID)
     k, inv = np.unique(np.concatenate(keys), return_inverse=True)
     s = np.bincount(inv, np.concatenate(stops), minlength=len(k)).astype(np.int64)
     return k, s, np.bincount(inv, minlength=len(k)) - s
@@ -206,17 +222,14 @@ def window_counts(df: DataFrame, text_col: str, asked: Asked, context_col: str |
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), s, o, zero)], schema=schema)
         hashes = Hashes()
         # pairs of words whose first word some open end has before its last; the first words of sentences follow a mark
-        ok = (ids[:-1] > _END_ID) & (ids[1:] > _END_ID)
-        known, at = np.unique(ids[:-1][ok], return_inverse=True)
-        wanted = asked(hashes.array([f"{names[x]}\3" for x in known.tolist()])) if len(known) else np.zeros(0, bool)
-        ok = np.flatnonzero(ok)[wanted[at]]
+        ok = np.flatnonzero((ids[:-1] > _END_ID) & (ids[1:] > _END_ID) & asked(_before(ids[:-1], ids[1:])))
         _, at, n = np.unique(windows(ids, 2)[ok], return_index=True, return_counts=True)
         begins = [(f"{names[a]}\1", names[b], c) for a, b, c in zip(ids[ok[at]].tolist(), ids[ok[at] + 1].tolist(), n.tolist())]
         first = ids[(np.concatenate(([_END_ID], ids[:-1])) <= _END_ID) & (ids > _END_ID)]
         begins += [(f"{_START}\1", names[b], c) for b, c in zip(*(x.tolist() for x in np.unique(first, return_counts=True)))]
         # words behind the beginnings of sentences that some open end has before its last word
         place = np.arange(len(ids))
-        parent = _key(prefix_hashes(ids, _starts(place, ids <= _END_ID)), PARENT)[:-1]
+        parent = _key(prefix_hashes(ids, _starts(place, ids <= _END_ID))[0], PARENT)[:-1]
         ok = np.flatnonzero((ids[:-1] > _END_ID) & (ids[1:] > _END_ID) & asked(parent))
         with np.errstate(over="ignore"):
             _, at, n = np.unique(parent[ok] * MULT + ids[ok + 1], return_index=True, return_counts=True)
@@ -254,14 +267,14 @@ def window_counts(df: DataFrame, text_col: str, asked: Asked, context_col: str |
 def _tail_keys(texts: list[str], lex: Lexer, names: dict[int, str], hashes: Hashes, contexts: list[int | None]) -> tuple[list[list[dict]], np.ndarray]:
     """(what each text's end is looked up by as {n, key}, tokens of each text).
 
-    Size 0 is the last word as a prefix, -1 a sentence's first and only one, -2 the predecessor of the last word.
+    Size 0 is the last word as a prefix, -1 a sentence's first and only one.
     """
     ids, sizes = lex.ids([lines(t) for t in texts])
     flat = np.insert(ids, np.cumsum(sizes), _END_ID)
     end, place = np.cumsum(sizes + 1) - 2, np.arange(len(flat))
-    starts = {SENTENCE: _starts(place, flat <= _END_ID), TEXT: _starts(place, flat == _END_ID)}
-    size = np.where((sizes > 0) & (flat[end] > _END_ID), end - starts[SENTENCE][end] + 1, 0)
-    prefix = {n: prefix_hashes(flat, start) for n, start in starts.items()}
+    starts = _starts(place, flat <= _END_ID), _starts(place, flat == _END_ID)
+    size = np.where((sizes > 0) & (flat[end] > _END_ID), end - starts[0][end] + 1, 0)
+    prefix = dict(zip((SENTENCE, TEXT), prefix_hashes(flat, *starts)))
     out: list[list[dict]] = [[] for _ in texts]
 
     def add(n, code, at):
@@ -272,17 +285,18 @@ def _tail_keys(texts: list[str], lex: Lexer, names: dict[int, str], hashes: Hash
     add(SENTENCE, _key(prefix[SENTENCE][end[some]], SENTENCE), some)
     parent = _key(prefix[SENTENCE][end[some] - 1], PARENT)
     add(PARENT, parent, some)
+    add(BEFORE, _before(flat[end[some] - 1], flat[end[some]]), some)
     whole = np.flatnonzero((size > 0) & (sizes > 1))
     add(TEXT, _key(prefix[TEXT][end[whole]], TEXT), whole)
-    for n in WINDOWS:
+    for n, h in all_windows(flat, WINDOWS).items():
         at = np.flatnonzero(size >= n)
-        h = windows(flat, n)[end[at] - n + 1] if len(at) else np.empty(0, np.uint64)
+        h = h[end[at] - n + 1] if len(at) else np.empty(0, np.uint64)
         add(n, _key(h, n), at)
         if any(c is not None for c in contexts):
             add(n + IN_CONTEXT, _key(h, n + IN_CONTEXT, np.array([contexts[i] for i in at.tolist()], np.int64).view(np.uint64)), at)
     for i, p in zip(some.tolist(), parent.tolist()):
         before, last = names[int(flat[end[i] - 1])], names[int(flat[end[i]])]
-        out[i] += [{"n": BEHIND, "key": hashes[f"{p}\1{last}\2"]}, {"n": 0, "key": hashes[f"{before}\1{last}\2"]}, {"n": -2, "key": hashes[f"{before}\3"]}]
+        out[i] += [{"n": BEHIND, "key": hashes[f"{p}\1{last}\2"]}, {"n": 0, "key": hashes[f"{before}\1{last}\2"]}]
     for i in np.flatnonzero(size == 1).tolist():
         out[i].append({"n": -1, "key": hashes[f"{_START}\1{names[int(flat[end[i]])]}\2"]})
     return out, sizes
