@@ -49,7 +49,7 @@ STOPS, STOPS_AT_LIMIT = 0.04, 0.6
 #: A length is a field's width if this share of its origin's open texts, and at least so many, have it.
 WIDTH_SHARE, WIDTH_LEAST = 0.08, 6
 #: Tokens gathered before they are counted together.
-FLUSH = 3_000_000
+FLUSH = 400_000
 
 _TOKEN = re.compile("[^\\W\\d_㐀-䶿一-鿿]+|\\d+|[㐀-䶿一-鿿]|[.!?;…。！？¶]+|[,:，、：]")
 _DIGITS = re.compile(r"\d+")
