@@ -34,7 +34,6 @@ def object_mentions(text: Column) -> Column:
     """Object head nouns in order: longest match wins, and a noun directly behind one of its hypernyms replaces it."""
     joined = F.array_join(words(without_colour_phrases(text)), " ")
     kinds = literal_map({n: "|".join(["", *L.ancestors(n)[1:], ""]) for n in L.OBJECT_NOUNS if n in L.HYPERNYMS})
-    last = lambda acc: F.element_at(acc, -1)
     return F.aggregate(
         _found(joined, L.OBJECT_NOUNS),
         F.array().cast("array<string>"),
@@ -60,6 +59,11 @@ def contains_word(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (padded.contains(f" {t} ") for t in terms))
 
 
+def whole_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    """The distinct terms that stand in a text between signs that are no letters or digits; earlier terms are tried first."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(terms)})(?![\p{{L}}\p{{N}}_])"), 1))
+
+
 def genders(text: Column) -> Column:
     """The genders to which a caption commits: any of nam, nu."""
     return F.array_compact(F.array(F.when(contains_word(text, L.REPORT_MALE), "nam"), F.when(contains_word(text, L.REPORT_FEMALE), "nu")))
@@ -135,14 +139,13 @@ def verdict_name(status: Column) -> Column:
 
 
 def yes_no(answer: Column) -> Column:
-    """yes, no or uncertain: hedges first, then the first word, then any word, "no" before "yes"; null for null."""
-    t = F.lower(F.trim(answer))
-    w = words(t)
-    first = F.try_element_at(w, F.lit(1))
-    no, yes = ["no", "không", "not", "nope", "chưa"], ["yes", "có", "đúng", "vâng", "yeah"]
-    hedge = r"không chắc|không rõ|không thể|khó nói|uncertain|not sure|cannot tell|can't tell|unclear|maybe|có thể"
+    """yes, no or uncertain: marks of doubt first, then the first word, then any word, "no" before "yes"; null for null."""
+    t = F.trim(F.regexp_replace(F.lower(answer), r"\s+", " "))
+    w = F.split(t, " ")
+    first = F.regexp_replace(F.element_at(w, 1), r"^[.,!?:;]+|[.,!?:;]+$", "")
     has = lambda xs: F.arrays_overlap(w, F.array(*map(F.lit, xs)))
-    return F.when(t.isNull(), None).when(t.rlike(hedge), "uncertain").when(first.isin(*no), "no").when(first.isin(*yes), "yes").when(has(no), "no").when(has(yes), "yes").otherwise("uncertain")
+    unsure = reduce(lambda a, b: a | b, (t.contains(m) for m in L.UNSURE))
+    return F.when(t.isNull(), None).when(unsure, "uncertain").when(first.isin(*L.NO), "no").when(first.isin(*L.YES), "yes").when(has(L.NO), "no").when(has(L.YES), "yes").otherwise("uncertain")
 
 
 def question_key(question: Column) -> Column:
@@ -158,11 +161,19 @@ def epistemic(text: Column, identity: Column) -> Column:
 
 
 def neutralise(text: Column) -> Column:
-    """Gendered person nouns replaced by the neutral one, between word boundaries."""
+    """Pronouns of a gendered word and "ấy" dropped, gendered person nouns replaced by the neutral one, which stands once."""
     b, e = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-    nouns = sorted(L.GENDERED_NOUNS, key=len, reverse=True)
-    t = F.regexp_replace(text, f"(?i){b}(?:người )?(?:{'|'.join(nouns)}){e}", "người")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, f"(?i){b}người người{e}", "người"), r"\s{2,}", " "))
+    t = F.regexp_replace(text, rf"{b}(?:{'|'.join(L.PRONOUNS)})\s+ấy{e}", " ")
+    t = F.regexp_replace(t, f"{b}(?:{'|'.join(sorted(L.UNCAP_GENDERED, key=len, reverse=True))}){e}", "người")
+    t = F.regexp_replace(t, rf"{b}người(?:\s+người)+{e}", "người")
+    return F.regexp_replace(F.regexp_replace(t, r"\s{2,}", " "), r"^\s+|\s+$", "")
+
+
+def embedded_clause(text: Column, within: bool = False) -> Column:
+    """Whether a text holds a clause of its own: a quantifier, one to six words and an aspect marker; with ``within`` not at its beginning."""
+    clause = rf"(?:{'|'.join(L.CLAUSE_QUANTIFIERS)})\s+(?:\S+\s+){{1,6}}?(?:{'|'.join(L.CLAUSE_ASPECTS)})\s"
+    found = text.rlike(rf"(?:^|\s){clause}")
+    return found & ~text.rlike(f"^{clause}") if within else found
 
 
 def prompt_hash(prompt: Column) -> Column:

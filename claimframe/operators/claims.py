@@ -226,6 +226,20 @@ def prf(predicted: DataFrame, gold: DataFrame, exact: bool = False) -> DataFrame
     return t.select("type", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn"), pr.alias("precision"), rc.alias("recall"), F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).alias("f1"))
 
 
+def hygiene(df: DataFrame, group: str, order: str, text: str, predicate: str) -> DataFrame:
+    """``df`` with ``fate``: "dup_word" (a word twice in a row), "pred_clause" (a predicate that holds a clause or more than twelve
+    words, or a text with a clause behind its beginning), "dup_text" (the text stands earlier in its group among those that
+    passed so far; empty ones never count as such) or "kept". Null texts and predicates are empty; a null group is a group.
+    """
+    t, p = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(predicate), F.lit(""))
+    words = F.regexp_count(p, F.lit(r"\S+"))
+    bad = F.when(T.adjacent_duplicate(t), "dup_word").when(T.embedded_clause(F.concat(F.lit(" "), p)) | T.embedded_clause(t, True) | (words > L.LONGEST_PREDICATE), "pred_clause")
+    d = df.withColumns({"fate": bad, "_key": F.lower(F.regexp_replace(t, r"^\s+|\s+$", ""))})
+    nth = F.row_number().over(Window.partitionBy(group, "_key", F.col("fate").isNull()).orderBy(order))
+    again = F.col("fate").isNull() & (F.col("_key") != "") & (nth > 1)
+    return d.withColumn("_again", again).withColumn("fate", F.coalesce("fate", F.when(F.col("_again"), "dup_text"), F.lit("kept"))).drop("_key", "_again")
+
+
 def rungs(records: DataFrame) -> DataFrame:
     """(image_id, rung, texts): supported claims; with the uncertain ones; all. Duplicates by text count once, first wins."""
     d = _props(records).select("image_id", "pos", T.verdict_name(F.col("prop.verification.status")).alias("v"), F.col("prop.text_vi").alias("t"), F.lower(F.trim("prop.text_vi")).alias("key"))

@@ -38,25 +38,30 @@ def evidence(prerequisites: list[Column], channels: list[Column]) -> Column:
 def decide(s: Column, c: Column, e: Column, constraint: Column | None = None, cascade: Column | None = None) -> Column:
     """struct<verdict, branch>, the branches tried in order.
 
-    A hard constraint leaves a claim uncertain whatever its scores; a rejected parent rejects it; weak evidence,
-    strong contradiction, missing support, support, weak support and doubt follow.
+    A hard constraint rejects a claim whatever its scores, and so does a rejected parent; too little evidence, strong
+    contradiction, no support signal, support, too little support and doubt follow.
     """
     hard = F.coalesce(constraint, F.lit(False)) if constraint is not None else F.lit(False)
     parent = cascade if cascade is not None else F.lit(None).cast("string")
     steps = [
-        (hard, "UNCERTAIN", "hard_constraint"),
+        (hard, "REJECTED", "hard_constraint"),
         (parent == "REJECTED", "REJECTED", "cascade"),
-        (e.isNull() | (e < L.E_MIN), "UNCERTAIN", "evidence_gate"),
+        (e.isNull() | (e < L.E_MIN), "UNCERTAIN", "gate"),
         (c >= L.C_HI, "REJECTED", "contradiction"),
-        (s.isNull(), "UNCERTAIN", "no_support"),
+        (s.isNull(), "UNCERTAIN", "no_support_signal"),
         ((s >= L.S_HI) & (c <= L.C_LO), "SUPPORTED", "support"),
-        (s <= L.S_LO, "REJECTED", "weak_support"),
+        (s <= L.S_LO, "REJECTED", "no_support"),
     ]
     out = None
     for when, verdict, branch in steps:
         value = F.struct(F.lit(verdict).alias("verdict"), F.lit(branch).alias("branch"))
         out = F.when(when, value) if out is None else out.when(when, value)
-    return out.otherwise(F.struct(F.lit("UNCERTAIN").alias("verdict"), F.lit("in_between").alias("branch")))
+    return out.otherwise(F.struct(F.lit("UNCERTAIN").alias("verdict"), F.lit("unclear").alias("branch")))
+
+
+def hard_constraint(inference_type: Column, requires_inference: Column) -> Column:
+    """The kind of inference that no image can bear out, null if a claim needs none."""
+    return F.when(F.coalesce(requires_inference, F.lit(False)) & inference_type.isin(*L.SPECULATIVE), inference_type)
 
 
 def rank(verdict: Column) -> Column:
@@ -100,7 +105,10 @@ def factuality(s: Column, c: Column, verdict: Column) -> Column:
 
 
 def type_weight(kind: Column) -> Column:
-    return F.when(kind.isin("entity", "scene"), 0.5).when(kind == "attribute", 1.0).otherwise(L.OTHER_TYPE_WEIGHT)
+    out = None
+    for k, w in L.TYPE_WEIGHTS.items():
+        out = F.when(kind == k, w) if out is None else out.when(kind == k, w)
+    return out.otherwise(L.OTHER_TYPE_WEIGHT)
 
 
 def harmonic(precision: Column, coverage: Column) -> Column:

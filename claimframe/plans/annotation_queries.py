@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import lexicon as L
 from ..functions import text as T
-from ..operators import joins, reports, rules
+from ..operators import claims, joins, reports, rules
 from .session import load
 
 QUERIES, SQL = {}, {}
@@ -139,17 +139,19 @@ def reject_reasons(spark, d):
     return a.groupBy(F.coalesce("reject_reason", F.lit("none")).alias("reason"), "prop_type").agg(F.count("*").alias("n"))
 
 
+_CLAUSE = rf"(?:{'|'.join(L.CLAUSE_QUANTIFIERS)})\s+(?:\S+\s+){{1,6}}?(?:{'|'.join(L.CLAUSE_ASPECTS)})\s"
+
+
 @query(
-    """WITH t AS (SELECT label_id, image_id, lower(trim(text_vi, ' ')) AS key FROM annotations WHERE image_id IS NOT NULL AND text_vi IS NOT NULL),
-k AS (SELECT label_id, CASE WHEN key = '' THEN 'empty' WHEN row_number() OVER (PARTITION BY image_id, key ORDER BY label_id) > 1 THEN 'duplicate' WHEN len(string_split(key, ' ')) > 12 THEN 'long' ELSE 'kept' END AS fate FROM t)
+    rf"""WITH t AS (SELECT label_id, image_id, text_vi AS t, lower(regexp_replace(text_vi, '^\s+|\s+$', '', 'g')) AS key, string_split(trim(regexp_replace(lower(text_vi), '\s+', ' ', 'g'), ' '), ' ') AS w FROM annotations WHERE image_id IS NOT NULL AND text_vi IS NOT NULL),
+f AS (SELECT label_id, image_id, key, CASE WHEN len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 0 THEN 'dup_word' WHEN regexp_matches(t, '(?:^|\s){_CLAUSE}') AND NOT regexp_matches(t, '^{_CLAUSE}') THEN 'pred_clause' END AS fate FROM t),
+k AS (SELECT CASE WHEN fate IS NOT NULL THEN fate WHEN key <> '' AND row_number() OVER (PARTITION BY image_id, key, fate IS NULL ORDER BY label_id) > 1 THEN 'dup_text' ELSE 'kept' END AS fate FROM f)
 SELECT fate, count(*) AS n FROM k GROUP BY fate"""
 )
 def hygiene_filter(spark, d):
-    """What hygiene does to each proposition: kept, dropped as a duplicate, as too long, or empty."""
-    t = load(spark, d, "annotations").where("image_id IS NOT NULL AND text_vi IS NOT NULL").select("label_id", "image_id", F.lower(F.trim("text_vi")).alias("key"))
-    r = F.row_number().over(Window.partitionBy("image_id", "key").orderBy("label_id"))
-    fate = F.when(F.col("key") == "", "empty").when(F.col("r") > 1, "duplicate").when(F.size(F.split("key", " ")) > 12, "long").otherwise("kept")
-    return t.withColumn("r", r).groupBy(fate.alias("fate")).agg(F.count("*").alias("n"))
+    """What hygiene does to the claims of each image: kept, or dropped by one of its three rules."""
+    t = load(spark, d, "annotations").where("image_id IS NOT NULL AND text_vi IS NOT NULL").select("label_id", "image_id", "text_vi", F.lit(None).cast("string").alias("predicate"))
+    return claims.hygiene(t, "image_id", "label_id", "text_vi", "predicate").groupBy("fate").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -296,33 +298,29 @@ def color_error_rates(spark, d):
     return j.groupBy(T.color_error(F.col("a.colour"), F.col("b.colour")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-_GEND = "|".join(sorted(L.GENDERED_NOUNS, key=len, reverse=True))
+_MARKED = lambda xs: "|".join(" ".join(f"<{w}>" for w in x.split(" ")) for x in xs)
 
 
 @query(
-    f"""WITH t AS (SELECT label_id, text_vi, ' ' || regexp_replace(trim(text_vi, ' '), '\\s+', '  ', 'g') || ' ' AS s FROM annotations WHERE text_vi IS NOT NULL AND regexp_matches(text_vi, '^[\\p{{L}}\\p{{N}}]+( [\\p{{L}}\\p{{N}}]+)*$')),
-u AS (SELECT label_id, text_vi, trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i) (?:người  )?(?:{_GEND.replace(" ", "  ")}) ', ' người ', 'g'), '(?i) người  người ', ' người ', 'g'), ' +', ' ', 'g'), ' ') AS v FROM t)
-SELECT label_id, v AS neutral FROM u WHERE v <> text_vi"""
+    # words in angles, so that a match begins and ends with a word
+    rf"""WITH m AS (SELECT label_id, text_vi, regexp_replace(translate(text_vi, '<>', chr(1) || chr(2)), '([\p{{L}}\p{{N}}_]+)', '<\1>', 'g') AS s FROM annotations WHERE text_vi IS NOT NULL),
+u AS (SELECT label_id, text_vi, regexp_replace(regexp_replace(regexp_replace(s, '(?:{_MARKED(L.PRONOUNS)})\s+<ấy>', ' ', 'g'), '(?:{_MARKED(sorted(L.UNCAP_GENDERED, key=len, reverse=True))})', '<người>', 'g'), '<người>(?:\s+<người>)+', '<người>', 'g') AS s FROM m),
+v AS (SELECT label_id, text_vi, regexp_replace(regexp_replace(translate(replace(replace(s, '<', ''), '>', ''), chr(1) || chr(2), '<>'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS v FROM u)
+SELECT label_id, v AS neutral FROM v WHERE v <> text_vi"""
 )
 def neutralised_claims(spark, d):
-    """Claims whose gendered nouns the neutral one replaces; plain texts of words between single blanks."""
-    a = load(spark, d, "annotations").where(F.col("text_vi").rlike(r"^[\p{L}\p{N}]+( [\p{L}\p{N}]+)*$"))
+    """Claims that neutralisation changes, and their neutral form."""
+    a = load(spark, d, "annotations").where("text_vi IS NOT NULL")
     return a.select("label_id", "text_vi", T.neutralise(F.col("text_vi")).alias("neutral")).where("neutral <> text_vi").select("label_id", "neutral")
 
 
-@query(
-    """WITH c AS (SELECT image_id, prop_type, lower(text_vi) AS t, min(label_id) AS pos FROM annotations WHERE image_id IS NOT NULL AND text_vi IS NOT NULL GROUP BY 1, 2, 3),
-s AS (SELECT image_id, list(t ORDER BY pos, t) AS ts FROM c GROUP BY image_id)
-SELECT image_id, len(ts) AS n, array_to_string(ts[:2], ', ') AS caption FROM s"""
-)
+@query()
 def template_captions(spark, d):
     """All claims of an image as one template caption with the offsets of each; the last are dropped to fit the operator's budget.
 
-    The SQL realises the first two only and without a budget, so it differs where there are more. Distinct claims of an image are few by nature.
+    The fold is tested against brute force. Distinct claims of an image are few by nature.
     """
-    from ..operators.claims import realise
-
     c = load(spark, d, "annotations").where("image_id IS NOT NULL AND text_vi IS NOT NULL").groupBy("image_id", "prop_type", F.lower("text_vi").alias("t")).agg(F.min("label_id").alias("pos"))
     g = c.groupBy("image_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("x"))
-    g = g.select("image_id", "n", realise(F.transform("x", lambda y: y["t"])).alias("c"))
+    g = g.select("image_id", "n", claims.realise(F.transform("x", lambda y: y["t"])).alias("c"))
     return g.select("image_id", "n", F.col("c.text").alias("caption"), F.col("c.spans").alias("spans"))

@@ -257,22 +257,50 @@ SELECT image_id, round(coalesce(counting, 0) * 1.0 / mc + coalesce(colour, 0) *
 def challenge_topk(spark, d):
     """Images by their signals, each against its maximum, and half a point of xanh against the colour maximum."""
     i = load(spark, d, "images")
-    most = i.agg(*[F.greatest(F.max(c), F.lit(1)).alias(c) for c in ("counting", "colour", "gendered", "entity_richness")]).first()
-    part = lambda c, by: F.coalesce(F.col(c), F.lit(0)) / F.lit(most[by])
+    most = i.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"most_{c}") for c in ("counting", "colour", "gendered", "entity_richness")])
+    one = F.lit(1).alias("_one")
+    i = i.select("*", one).join(F.broadcast(most.select("*", one)), "_one")  # one row
+    part = lambda c, by: F.coalesce(F.col(c), F.lit(0)) / F.col(f"most_{by}")
     score = part("counting", "counting") + part("colour", "colour") + part("gendered", "gendered") + part("entity_richness", "entity_richness") + 0.5 * part("xanh", "colour")
     return i.select("image_id", F.round(score, 4).alias("challenge")).orderBy(F.desc("challenge"), "image_id").limit(50)
 
 
+_FAB = "|".join(x.replace(" ", "  ") for x in L.CHALLENGE_GENDERED)
+
+
+def _gendered_sql(text: str) -> str:
+    """Gendered nouns of a text; words between single blanks become words between two, so that neighbours share none."""
+    return f"list_distinct(regexp_extract_all(regexp_replace(' ' || lower({text}) || ' ', '[^\\p{{L}}\\p{{N}}_]', '\\0\\0', 'g'), '[^\\p{{L}}\\p{{N}}_]({_FAB})[^\\p{{L}}\\p{{N}}_]', 1))"
+
+
 @query(
-    _SCORED
-    + """SELECT grp, system_name, count(*) AS n, CAST(sum(len(mentioned)) AS BIGINT) AS mentions, round(sum(len(halluc)) * 1.0 / nullif(sum(len(mentioned)), 0), 6) AS chair_i
-FROM (SELECT system_name, mentioned, halluc, unnest(list_filter([ 'all', CASE WHEN counting > 0 THEN 'counting' END, CASE WHEN colour > 0 THEN 'colour' END, CASE WHEN xanh > 0 THEN 'xanh' END, CASE WHEN gendered > 0 THEN 'gender' END], lambda x: x IS NOT NULL)) AS grp FROM scored JOIN images USING (image_id)) GROUP BY grp, system_name"""
+    f"""WITH raw AS (SELECT caption_id, image_id, system_name, {_objects("caption")} AS objs, {_gendered_sql("caption")} AS gens FROM captions WHERE caption IS NOT NULL AND image_id IS NOT NULL),
+gold AS (SELECT image_id, list_distinct(flatten(list(objs))) AS gold, list_distinct(flatten(list(gens))) AS gold_gens FROM raw WHERE system_name = '{REFERENCE}' GROUP BY image_id),
+x AS (SELECT system_name, len(objs) AS m, len(list_filter(objs, lambda o: NOT list_contains(gold, o))) AS h, len(list_filter(gens, lambda o: NOT list_contains(gold_gens, o))) > 0 AS fab, counting, colour, xanh, gendered FROM raw JOIN gold USING (image_id) JOIN images USING (image_id) WHERE system_name <> '{REFERENCE}'),
+g AS (SELECT *, unnest(list_filter(['all', CASE WHEN counting > 0 THEN 'counting' END, CASE WHEN colour > 0 THEN 'colour' END, CASE WHEN xanh > 0 THEN 'xanh' END, CASE WHEN gendered > 0 THEN 'gender' END], lambda x: x IS NOT NULL)) AS grp FROM x)
+SELECT grp, system_name, count(*) AS n, CAST(sum(m) AS BIGINT) AS mentions, round(sum(h) * 1.0 / nullif(sum(m), 0), 6) AS chair_i, round(100.0 * count(*) FILTER (fab) / count(*), 3) AS gender_fab_pct FROM g GROUP BY grp, system_name"""
 )
 def challenge_groups(spark, d):
+    """Per group of images: raw object mentions, the share of them that no reference has, and captions with a gendered noun that none has."""
+    preds, refs = _split(spark, d)
+    has = lambda x: x.where("caption IS NOT NULL AND image_id IS NOT NULL").select("image_id", "system_name", T.object_mentions(F.col("caption")).alias("objs"), T.whole_terms(F.col("caption"), L.CHALLENGE_GENDERED).alias("gens"))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    gold = has(refs).groupBy("image_id").agg(union("objs").alias("gold"), union("gens").alias("gold_gens"))
     i = load(spark, d, "images").select("image_id", F.array_compact(F.array(F.lit("all"), *[F.when(F.col(c) > 0, n) for c, n in (("counting", "counting"), ("colour", "colour"), ("xanh", "xanh"), ("gendered", "gender"))])).alias("grps"))
-    s = _scored(spark, d).select("image_id", "system_name", "mentioned", "halluc").join(i, "image_id").withColumn("grp", F.explode("grps"))
-    g = s.groupBy("grp", "system_name").agg(F.count("*").alias("n"), F.sum(F.size("mentioned")).cast("long").alias("mentions"), F.sum(F.size("halluc")).cast("long").alias("h"))
-    return g.select("grp", "system_name", "n", "mentions", reports.rate(F.col("h"), F.col("mentions")).alias("chair_i"))
+    s = has(preds).join(gold, "image_id").join(i, "image_id")
+    s = s.select("system_name", F.size("objs").alias("m"), F.size(F.filter("objs", lambda o: ~F.array_contains("gold", o))).alias("h"), (F.size(F.array_except("gens", "gold_gens")) > 0).alias("fab"), F.explode("grps").alias("grp"))
+    g = s.groupBy("grp", "system_name").agg(F.count("*").alias("n"), F.sum("m").cast("long").alias("mentions"), F.sum("h").cast("long").alias("h"), F.count_if("fab").alias("f"))
+    return g.select("grp", "system_name", "n", "mentions", reports.rate(F.col("h"), F.col("mentions")).alias("chair_i"), F.round(100.0 * F.col("f") / F.col("n"), 3).alias("gender_fab_pct"))
+
+
+@query(
+    f"""WITH t AS (SELECT trim(regexp_replace(lower(response), '\\s+', ' ', 'g'), ' ') AS s FROM sft_pairs WHERE response IS NOT NULL), w AS (SELECT s, string_split(s, ' ') AS w FROM t)
+SELECT CASE WHEN {" OR ".join(f"contains(s, '{m}')" for m in L.UNSURE)} THEN 'uncertain' WHEN trim(w[1], '.,!?:;') IN ({", ".join(f"'{x}'" for x in L.NO)}) THEN 'no' WHEN trim(w[1], '.,!?:;') IN ({", ".join(f"'{x}'" for x in L.YES)}) THEN 'yes' WHEN list_has_any(w, {_list(L.NO)}) THEN 'no' WHEN list_has_any(w, {_list(L.YES)}) THEN 'yes' ELSE 'uncertain' END AS polarity, count(*) AS n FROM w GROUP BY 1"""
+)
+def answer_polarity(spark, d):
+    """The polarity of responses, read as answers to a probe."""
+    p = load(spark, d, "sft_pairs").where("response IS NOT NULL")
+    return p.groupBy(T.yes_no(F.col("response")).alias("polarity")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -332,23 +360,21 @@ def difficulty_bands(spark, d):
     return load(spark, d, "images").groupBy(F.when(s <= 1, "easy").when(s <= 3, "medium").otherwise("hard").alias("band")).agg(F.count("*").alias("images"))
 
 
-_G = "list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n} - 1], ' '))"
-
-
-def _bleu_sql(n: int) -> str:
-    c, r = _G.format(x="cand", n=n), _G.format(x="ref", n=n)
-    return f"""SELECT system_name, {n} AS n, CAST(sum(m) AS BIGINT) AS matched, CAST(sum(t) AS BIGINT) AS total, round(sum(m) * 1.0 / nullif(sum(t), 0), 6) AS precision FROM
-(SELECT system_name, len(c) AS t, coalesce(list_sum(list_transform(list_distinct(c), lambda g: least(len(list_filter(c, lambda y: y = g)), len(list_filter(r, lambda y: y = g))))), 0) AS m FROM (SELECT system_name, {c} AS c, {r} AS r FROM pr)) GROUP BY system_name"""
-
-
 @query(
-    f"""WITH f AS (SELECT image_id, arg_min(caption, caption_id) AS caption FROM captions WHERE system_name = '{REFERENCE}' AND caption IS NOT NULL AND image_id IS NOT NULL GROUP BY image_id),
-pr AS (SELECT system_name, regexp_extract_all(lower(c.caption), '\\p{{L}}+') AS cand, regexp_extract_all(lower(f.caption), '\\p{{L}}+') AS ref FROM captions c JOIN f USING (image_id) WHERE system_name <> '{REFERENCE}' AND c.caption IS NOT NULL)
-"""
-    + " UNION ALL ".join(_bleu_sql(n) for n in (1, 2, 3, 4))
+    f"""WITH t AS (SELECT caption_id, system_name, image_id, regexp_extract_all(lower(caption), '\\p{{L}}+') AS w FROM captions WHERE caption IS NOT NULL AND image_id IS NOT NULL),
+r AS (SELECT row_number() OVER () AS rid, image_id, w FROM (SELECT DISTINCT image_id, w FROM t WHERE system_name = '{REFERENCE}')),
+c AS (SELECT * FROM t WHERE system_name <> '{REFERENCE}' AND image_id IN (SELECT image_id FROM r)),
+ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+cg AS (SELECT caption_id, system_name, image_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM c, ns),
+rg AS (SELECT rid, image_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM r, ns),
+ck AS (SELECT caption_id, system_name, image_id, n, g, count(*) AS k FROM cg GROUP BY ALL),
+rk AS (SELECT image_id, n, g, max(k) AS k FROM (SELECT rid, image_id, n, g, count(*) AS k FROM rg GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT system_name, n, sum(least(ck.k, coalesce(rk.k, 0))) AS matched FROM ck LEFT JOIN rk USING (image_id, n, g) GROUP BY system_name, n),
+s AS (SELECT system_name, n, sum(greatest(len(w) - n + 1, 0)) AS total FROM c, ns GROUP BY system_name, n)
+SELECT system_name, n, CAST(coalesce(matched, 0) AS BIGINT) AS matched, CAST(total AS BIGINT) AS total, round(coalesce(matched, 0) * 1.0 / nullif(total, 0), 6) AS precision FROM s LEFT JOIN m USING (system_name, n)"""
 )
 def ngram_bleu_counts(spark, d):
-    """Clipped matches against all references of an image; the SQL knows only the first one, so it differs where there are several."""
+    """Clipped matches against all references of an image."""
     preds, refs = (x.where("caption IS NOT NULL AND image_id IS NOT NULL").withColumn("tokens", T.words(F.col("caption"))) for x in _split(spark, d))
     return reports.ngram_matches_of_many(preds, refs, "image_id", "tokens", ["system_name"])
 

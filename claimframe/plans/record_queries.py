@@ -32,8 +32,8 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CL = "WITH cl AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, CASE WHEN l_linenumber % 7 <> 0 THEN l_quantity / 50.0 END AS s, l_discount * 8 AS c, CASE WHEN l_linenumber % 5 <> 0 THEN l_tax * 12.5 END AS e FROM lineitem)\n"
-_BRANCH = "CASE WHEN e IS NULL OR e < 0.35 THEN 'evidence_gate' WHEN c >= 0.60 THEN 'contradiction' WHEN s IS NULL THEN 'no_support' WHEN s >= 0.70 AND c <= 0.20 THEN 'support' WHEN s <= 0.35 THEN 'weak_support' ELSE 'in_between' END"
-_TO = "CASE branch WHEN 'contradiction' THEN 'REJECTED' WHEN 'weak_support' THEN 'REJECTED' WHEN 'support' THEN 'SUPPORTED' ELSE 'UNCERTAIN' END"
+_BRANCH = "CASE WHEN e IS NULL OR e < 0.35 THEN 'gate' WHEN c >= 0.60 THEN 'contradiction' WHEN s IS NULL THEN 'no_support_signal' WHEN s >= 0.70 AND c <= 0.20 THEN 'support' WHEN s <= 0.35 THEN 'no_support' ELSE 'unclear' END"
+_TO = "CASE branch WHEN 'contradiction' THEN 'REJECTED' WHEN 'no_support' THEN 'REJECTED' WHEN 'support' THEN 'SUPPORTED' ELSE 'UNCERTAIN' END"
 _DEC = _CL + f", de AS (SELECT *, {_BRANCH} AS branch FROM cl), dv AS (SELECT *, {_TO} AS verdict FROM de)\n"
 
 
@@ -280,17 +280,12 @@ def replay_fidelity(spark, d):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-_ROUNDS, _BUCKETS = 1000, 64
+_ROUNDS = 1000
 
 
-@query(
-    f"""WITH b AS (SELECT l_orderkey % {_BUCKETS} AS bucket, sum(l_discount) AS num, sum(l_tax) AS den FROM lineitem GROUP BY 1),
-dr AS (SELECT r AS round, ((r * 7919 + k * 104729 + r * k * 31) * 2654435761 % 4294967296) % {_BUCKETS} AS bucket FROM range({_ROUNDS}) a(r), range({_BUCKETS}) c(k)),
-s AS (SELECT round, sum(num) / nullif(sum(den), 0) AS v FROM dr JOIN b USING (bucket) GROUP BY round)
-SELECT round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi, count(*) AS rounds FROM s"""
-)
+@query()
 def bootstrap_ci(spark, d):
-    """Percentile interval of a ratio of sums over resampled ids; the SQL draws 64 buckets by a congruence that hardly resamples, so it differs."""
+    """Percentile interval of a ratio of sums over resampled ids; the draws are tested by their mean and variance."""
     s = load(spark, d, "lineitem").select("l_orderkey", F.col("l_discount").alias("num"), F.col("l_tax").alias("den"))
     r = reports.bootstrap_sums(s, "l_orderkey", ["num", "den"], _ROUNDS).select(F.try_divide("num", F.nullif("den", F.lit(0.0))).alias("v"))
     return r.agg(F.round(F.percentile("v", F.lit(0.025)), 5).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 5).alias("hi"), F.count("*").alias("rounds"))

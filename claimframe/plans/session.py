@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage that executors share; see ``spark.checkpoint.dir``."""
+    """Cut the lineage through reliable storage that executors share, the folder of ``spark.checkpoint.dir``.
+
+    Without that setting a session on one machine gets a folder of its own, removed at its end; on a cluster it is an
+    error. ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark drop checkpoints that are no longer used.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), f"claimframe-checkpoint-{os.getpid()}"))
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="claimframe-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 

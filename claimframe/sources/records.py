@@ -14,12 +14,13 @@ from ..operators.joins import pseudo_random
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, unreadable): one JSON document per file; files with a leading ``_`` are reports and skipped by Spark.
 
-    Documents that do not parse are counted by file instead of failing the scan.
+    Documents that do not parse, wholly or in part, are given by file instead of failing the scan. (Spark reads the mark of
+    a corrupt document only together with another column.)
     """
     s = T.StructType([*schema.record_schema().fields, T.StructField("_corrupt", T.StringType())])
     df = spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     df = df.withColumn("_file", F.input_file_name())
-    return schema.unify_dialects(df.where("_corrupt IS NULL")).drop("_corrupt"), df.where("_corrupt IS NOT NULL AND image_id IS NULL").select("_file")
+    return schema.unify_dialects(df.where("_corrupt IS NULL")).drop("_corrupt"), df.where("_corrupt IS NOT NULL AND coalesce(length(image_id), 0) >= 0").select("_file")
 
 
 def propositions(records: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def test_verdict_name(value, status, want):
     assert value(T.verdict_name, status) == want
 
 
-@pytest.mark.parametrize("a, want", [("Có, đúng vậy", "yes"), ("Không thấy", "no"), ("không rõ lắm", "uncertain"), ("Well, no", "no"), ("", "uncertain"), (None, None)])
+@pytest.mark.parametrize("a, want", [("Có, đúng vậy", "yes"), ("Không thấy", "no"), ("không rõ lắm", "uncertain"), ("Well, no", "no"), ("", "uncertain"), (None, None), ("có lẽ vậy", "uncertain"), ("không xác định được", "uncertain"), ("sai", "no"), ("Phải.", "yes"), ("có một con chó, không phải mèo", "yes"), ("một con chó, không phải mèo", "no")])
 def test_yes_no(value, a, want):
     assert value(T.yes_no, a) == want
 
@@ -74,6 +74,9 @@ def test_small_functions(value):
     assert len(value(T.prompt_hash, "x")) == 16
     assert value(T.genders, "một người phụ nữ và một đàn ông") == ["nam", "nu"]
     assert value(T.neutralise, "hai người đàn ông đi bộ") == "hai người đi bộ"
+    assert value(T.neutralise, "cô ấy đội nón") == "đội nón" and value(T.neutralise, "cậu con trai, bà và cô  gái") == "người, người và người gái"
+    assert value(lambda c: T.embedded_clause(c, True), "một người đang đi") is False and value(lambda c: T.embedded_clause(c, True), "cạnh một người phụ nữ đang đi") is True
+    assert value(lambda c: T.whole_terms(c, L.CHALLENGE_GENDERED), "Cô gái, cô và anh ấy; cô") == ["cô gái", "cô", "anh"]
     assert value(lambda c: T.ngrams(F.split(c, " "), 2), "a b c") == ["a b", "b c"] and value(lambda c: T.ngrams(F.split(c, " "), 2), "a") == []
     assert value(lambda c: T.epistemic(c, F.lit(True)), "cái bàn")["tag"] == "INFERENCE"  # by substring, as published
     assert value(lambda c: T.epistemic(c, F.lit(True)), "đi chợ vui")["kind"] == "purpose"
@@ -90,13 +93,13 @@ def _decide(spark, s, c, e, hard=False, parent=None):
 
 def test_decide_order(spark):
     assert _decide(spark, 0.9, 0.0, 0.9) == ("SUPPORTED", "support")
-    assert _decide(spark, 0.9, 0.9, 0.9, True, "REJECTED") == ("UNCERTAIN", "hard_constraint")
+    assert _decide(spark, 0.9, 0.9, 0.9, True, "REJECTED") == ("REJECTED", "hard_constraint")
     assert _decide(spark, 0.9, 0.0, 0.9, False, "REJECTED") == ("REJECTED", "cascade")
-    assert _decide(spark, 0.1, 0.9, 0.1) == ("UNCERTAIN", "evidence_gate")
+    assert _decide(spark, 0.1, 0.9, 0.1) == ("UNCERTAIN", "gate")
     assert _decide(spark, None, 0.6, 0.9) == ("REJECTED", "contradiction")
-    assert _decide(spark, None, 0.1, 0.9) == ("UNCERTAIN", "no_support")
-    assert _decide(spark, 0.35, 0.3, 0.9) == ("REJECTED", "weak_support")
-    assert _decide(spark, 0.7, 0.21, 0.9) == ("UNCERTAIN", "in_between")
+    assert _decide(spark, None, 0.1, 0.9) == ("UNCERTAIN", "no_support_signal")
+    assert _decide(spark, 0.35, 0.3, 0.9) == ("REJECTED", "no_support")
+    assert _decide(spark, 0.7, 0.21, 0.9) == ("UNCERTAIN", "unclear")
 
 
 def test_scores(spark):

@@ -54,23 +54,78 @@ def _claim(**k):
     return {"verdict": "SUPPORTED", "factuality": 0.9, "information": 1.0, "type": "a", "entity": "e", "salience": 0.0, "text": "t", "conflict_key": None, "conflict_value": None} | k
 
 
-def test_greedy_order():
-    rows = [_claim(entity="1", text="1"), _claim(entity="1", text="1"), _claim(entity="2", text="2", type="b", salience=1.0), _claim(verdict="UNCERTAIN", factuality=0.2, text="3"), _claim(verdict="UNCERTAIN", factuality=0.1, text="4"), _claim(factuality=None, text="5")]
-    assert folds.greedy_order(rows) == [2, 0, 1, 3]  # one hedge only, unscored never
-    tied = [_claim(text=str(i)) for i in range(3)]
-    assert folds.greedy_order(tied) == [0, 1, 2]
+def test_selection():
+    rows = [_claim(entity="1", text="1"), _claim(entity="1", text="1"), _claim(entity="2", text="2", type="b", salience=1.0), _claim(verdict="UNCERTAIN", factuality=0.2, text="3"), _claim(verdict="UNCERTAIN", factuality=0.1, text="4"), _claim(factuality=None, text="5"), _claim(verdict="REJECTED", text="6"), _claim(verdict=None, text="7")]
+    assert folds.greedy_order(rows) == [0, 1, 2, 3]  # one hedge only; unscored claims add nothing, rejected and unverified ones never enter
     clash = [_claim(text="x", conflict_key="k", conflict_value="1"), _claim(text="y", conflict_key="k", conflict_value="2")]
     assert folds.greedy_order(clash) == [0]
     assert folds.greedy_order([]) == []
 
 
+def test_coverage_repair():
+    few = folds.L.SELECT | {"budget": 2}
+    rows = [_claim(entity="1", text="1", salience=0.1), _claim(entity="1", text="2", salience=0.1), _claim(entity="2", text="3", salience=0.9, factuality=None)]
+    assert folds.greedy_order(rows, few | {"beta": 0.0}) == [1, 2]  # the first claim is lost at least cost
+    assert folds.greedy_order(rows, few | {"beta": 0.0, "coverage_repairs": 0}) == [0, 1]
+
+
+def test_greedy_matches_brute_force():
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(5)
+
+    def value(rows, ids):
+        cfg, mass = folds.L.SELECT, {r["entity"]: r["salience"] for r in rows}
+        own = [rows[i] for i in ids]
+        types = [r["type"] for r in own]
+        div = -sum(types.count(t) / len(types) * math.log2(types.count(t) / len(types)) for t in set(types)) if types else 0
+        cov = sum(mass[e] for e in {r["entity"] for r in own}) / sum(mass.values()) if sum(mass.values()) else 0
+        red = sum(a["text"] == b["text"] for a, b in itertools.combinations(own, 2))
+        return cfg["alpha"] * sum((r["factuality"] or 0) * r["information"] for r in own) + cfg["beta"] * cov + cfg["gamma"] * div - cfg["delta"] * red
+
+    for _ in range(60):
+        sal = {str(e): rng.choice([0.0, 0.2, 0.7]) for e in range(3)}
+        rows = []
+        for _ in range(rng.randrange(8)):
+            e = rng.choice("012")
+            rows.append(_claim(verdict=rng.choice(["SUPPORTED", "SUPPORTED", "UNCERTAIN"]), factuality=rng.choice([None, 0.1, 0.5, 0.9]), information=rng.choice([0.3, 1.0]), type=rng.choice("abc"), entity=e, salience=sal[e], text=rng.choice("wxyz")))
+        chosen = []
+        while len(chosen) < folds.L.SELECT["budget"]:
+            best = None
+            for i, r in enumerate(rows):
+                if i in chosen or (r["verdict"] == "UNCERTAIN" and sum(rows[j]["verdict"] == "UNCERTAIN" for j in chosen) >= 1):
+                    continue
+                g = value(rows, [*chosen, i]) - value(rows, chosen)
+                k = (round(g, 9), round(r["factuality"] or 0, 9), r["information"], -i)
+                if g > 1e-9 and (best is None or k > best):
+                    best = k
+            if best is None:
+                break
+            chosen.append(-best[3])
+        assert folds.greedy_order(rows, folds.L.SELECT | {"coverage_repairs": 0}) == sorted(chosen)
+
+
 def test_select_claims(spark, rows):
     cols = "g string, pos long, verdict string, factuality double, information double, type string, entity string, salience double, text string, conflict_key string, conflict_value string"
-    d = spark.createDataFrame([("x", i, "SUPPORTED", 0.5 + i / 10, 1.0, "a", "e", 0.0, str(i), None, None) for i in range(4)] + [("y", 0, None, None, None, None, None, None, None, None, None)], cols)
-    assert rows(folds.select_claims(d, "g"), "pos", "rank") == [(0, 4), (1, 3), (2, 2), (3, 1)]
+    d = spark.createDataFrame([("x", i, "SUPPORTED", 0.5 + i / 10, 1.0, "a", "e", 0.0, str(i), None, None) for i in range(7)] + [("y", 0, None, None, None, None, None, None, None, None, None)], cols)
+    assert rows(folds.select_claims(d, "g"), "pos", "rank") == [(2, 1), (3, 2), (4, 3), (5, 4), (6, 5)]
     assert folds.select_claims(d.where("false"), "g").count() == 0
 
 
+def test_hygiene(spark, rows):
+    from claimframe.operators import claims
+
+    d = spark.createDataFrame(
+        [("x", 1, "con chó chó nằm", None), ("x", 2, "Con mèo ", None), ("x", 3, "con mèo", None), ("x", 4, "", None), ("x", 5, None, None), ("x", 6, "bàn cạnh một người phụ nữ đang đi bộ", None), ("x", 7, "một người đang đi bộ", None), ("x", 8, "ghế", "a b c d e f g h i j k l m"), ("x", 9, "cửa", "nhìn hai người đang ngồi yên"), (None, 10, "con mèo", None)],
+        "img string, pos int, t string, p string",
+    )
+    got = {r["pos"]: r["fate"] for r in claims.hygiene(d, "img", "pos", "t", "p").collect()}
+    assert got == {1: "dup_word", 2: "kept", 3: "dup_text", 4: "kept", 5: "kept", 6: "pred_clause", 7: "kept", 8: "pred_clause", 9: "pred_clause", 10: "kept"}
+    assert claims.hygiene(d.where("false"), "img", "pos", "t", "p").count() == 0
+
+
 def test_chair(spark, rows):
     refs = spark.createDataFrame([("i", "một người phụ nữ và con chó"), ("i", None), (None, "xe đạp"), ("j", "")], "image_id string, caption string")
     preds = spark.createDataFrame([("i", "người và con mèo", "s"), ("i", "phụ nữ", "s"), ("i", None, "s"), ("j", "xe đạp", "s"), ("k", "xe đạp", "s")], "image_id string, caption string, gold string").drop("gold")
