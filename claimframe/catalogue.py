@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("caption_queries", "annotation_queries", "record_queries")
+_MODULES = ("caption_queries", "annotation_queries", "record_queries", "claim_queries")
 
 
 def _all(name: str) -> dict:

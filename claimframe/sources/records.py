@@ -91,8 +91,9 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """JSON lines under a schema; blank lines are no rows, a missing path is an error."""
-    return spark.read.schema(ddl).json(path).where(F.coalesce(*[F.col(f.name).isNotNull().cast("int") * 0 + 1 for f in T.StructType.fromDDL(ddl).fields]) == 1)
+    """JSON lines under a schema; blank lines, lines that do not parse and lines without any of the fields are no rows, a missing path is an error."""
+    names = [f.name for f in T.StructType.fromDDL(ddl).fields]
+    return spark.read.schema(ddl).json(path).dropna("all", subset=names)
 
 
 def write_shuffled_jsonl(df: DataFrame, id_col: str, path: str, seed: int = 42) -> None:
