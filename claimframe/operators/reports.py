@@ -169,38 +169,29 @@ def bootstrap_sums(stats: DataFrame, id_col: str, values: list[str], rounds: int
     return drawn.groupBy("round").agg(*[F.sum(v).alias(v) for v in values], F.sum("rows").cast("long").alias("rows"))
 
 
-def ngram_matches(pairs: DataFrame, cand: str, ref: str, by: list[str], most: int = 4) -> DataFrame:
-    """Clipped n-gram matches and totals of candidate and reference token arrays, n = 1 .. most: the counts of BLEU."""
-    out = None
-    for n in range(1, most + 1):
-        d = pairs.select(*by, T.ngrams(F.col(cand), n).alias("c"), T.ngrams(F.col(ref), n).alias("r"))
-        count = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
-        clipped = F.aggregate(F.array_distinct("c"), F.lit(0), lambda acc, g: acc + F.least(count(F.col("c"), g), count(F.col("r"), g)))
-        part = d.groupBy(*by).agg(F.sum(clipped).cast("long").alias("matched"), F.sum(F.size("c")).cast("long").alias("total")).withColumn("n", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out.select(*by, "n", "matched", "total", rate(F.col("matched"), F.col("total")).alias("precision"))
-
-
-def _ngram_counts(df: DataFrame, keep: list[str], tokens: str, n: int) -> DataFrame:
-    """(keep, _gram, _k): each distinct n-gram of a row with its count in that row."""
-    d = df.select(*keep, T.ngrams(F.col(tokens), n).alias("_c"))
-    return d.select(*keep, F.explode(F.transform(F.array_distinct("_c"), lambda g: F.struct(g.alias("_gram"), F.size(F.filter("_c", lambda y: y == g)).alias("_k")))).alias("_x")).select(*keep, "_x._gram", "_x._k")
+def _ngram_rows(df: DataFrame, keep: list[str], tokens: str, most: int) -> DataFrame:
+    """(keep, n, gram): the n-grams of each row, n = 1 .. most."""
+    of_size = lambda n: F.transform(T.ngrams(F.col(tokens), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = F.flatten(F.array(*[of_size(n) for n in range(1, most + 1)]))
+    return df.select(*keep, F.explode(grams).alias("_x")).select(*keep, "_x.n", "_x.gram")
 
 
 def ngram_matches_of_many(cands: DataFrame, refs: DataFrame, key: str, tokens: str, by: list[str], most: int = 4) -> DataFrame:
-    """As ``ngram_matches``, with any number of references per key: an n-gram is clipped at its largest count in one of them.
+    """Clipped n-gram matches and totals, the counts of BLEU, with any number of references per key: an n-gram is clipped at
+    its largest count in one of them.
 
-    Candidates of keys without a reference are not counted. Both sides are counted within rows and combined before
-    they are shuffled, by key and n-gram, so a key with very many references costs its distinct n-grams.
+    Candidates of keys without a reference are not counted. Candidates with equal tokens are counted once with their
+    number, and both sides are combined before they are shuffled, by key and n-gram, so a key with very many texts
+    costs its distinct n-grams.
     """
-    refs = refs.select(key, tokens).distinct()
-    known = cands.join(refs.select(key).distinct(), key, "left_semi").select(*by, key, tokens)
-    out = None
-    for n in range(1, most + 1):
-        most_in_one = _ngram_counts(refs, [key], tokens, n).groupBy(key, "_gram").agg(F.max("_k").alias("_r"))
-        alike = _ngram_counts(known, [*by, key], tokens, n).groupBy(*by, key, "_gram", "_k").agg(F.count("*").alias("_rows"))
-        hits = alike.join(most_in_one, [key, "_gram"]).select(*by, (F.col("_rows") * F.least("_k", "_r")).alias("matched"), F.lit(0).alias("total"))
-        sizes = known.select(*by, F.lit(0).cast("long").alias("matched"), F.size(T.ngrams(F.col(tokens), n)).alias("total"))
-        part = hits.unionByName(sizes).groupBy(*by).agg(F.sum("matched").cast("long").alias("matched"), F.sum("total").cast("long").alias("total")).withColumn("n", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out.select(*by, "n", "matched", "total", rate(F.col("matched"), F.col("total")).alias("precision"))
+    refs = refs.select(key, tokens).distinct().withColumn("_row", F.xxhash64(tokens))
+    alike = cands.select(*by, key, tokens).join(refs.select(key).distinct(), key, "left_semi").groupBy(*by, key, tokens).agg(F.count("*").alias("_rows")).withColumn("_row", F.xxhash64(tokens))
+    count = lambda d, keep: _ngram_rows(d, keep, tokens, most).groupBy(*keep, "n", "gram").agg(F.count("*").alias("_k"))
+    most_in_one = count(refs, [key, "_row"]).groupBy(key, "n", "gram").agg(F.max("_k").alias("_r"))
+    own = count(alike, [*by, key, "_row", "_rows"])
+    j = own.join(most_in_one, [key, "n", "gram"], "left")
+    m = j.select(*by, "n", (F.col("_rows") * F.least("_k", F.coalesce("_r", F.lit(0)))).alias("matched"), F.lit(0).cast("long").alias("total"))
+    sizes = F.array(*[F.struct(F.lit(n).alias("n"), (F.greatest(F.size(tokens) - n + 1, F.lit(0)) * F.col("_rows")).alias("total")) for n in range(1, most + 1)])
+    t = alike.select(*by, F.explode(sizes).alias("x")).select(*by, "x.n", F.lit(0).cast("long").alias("matched"), "x.total")
+    d = m.unionByName(t).groupBy(*by, "n").agg(F.sum("matched").cast("long").alias("matched"), F.sum("total").cast("long").alias("total"))
+    return d.select(*by, "n", "matched", "total", rate(F.col("matched"), F.col("total")).alias("precision"))

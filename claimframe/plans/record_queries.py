@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import lexicon as L
-from ..operators import folds, joins, reports, rules
+from ..operators import folds, joins, reports, rules, similarity
 from .session import load
 
 QUERIES, SQL = {}, {}
@@ -349,29 +349,9 @@ def window_session(spark, d):
 SELECT q.vec_id AS query, b.vec_id AS vec_id FROM n q JOIN n b ON q.vec_id <> b.vec_id AND q.vec_id % 100 = 0 WHERE list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (q.len * b.len) >= 0.2"""
 )
 def redundancy_above_rho(spark, d):
-    """Cosine similarity of a stated query set (ids divisible by 100) against all vectors, one block of queries at a time.
-
-    A block holds at most 256 vectors of 64 numbers and is sent to every task; the other side is never shuffled.
-    """
-    e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    out, block = None, []
-
-    def compare(rows):
-        q = F.array(*[F.struct(F.lit(r["vec_id"]).alias("query"), F.array(*map(F.lit, r["v"])).alias("qv")) for r in rows])
-        j = e.select("vec_id", "v", unit(F.col("v")).alias("len"), F.explode(q).alias("q")).select("vec_id", "v", "len", "q.query", "q.qv")
-        dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return j.where((F.col("query") != F.col("vec_id")) & (dot / (F.col("len") * unit(F.col("qv"))) >= 0.2)).select("query", "vec_id")
-
-    for r in e.where("vec_id % 100 = 0").orderBy("vec_id").toLocalIterator():
-        block.append(r)
-        if len(block) == 256:
-            part = compare(block)
-            out, block = (part if out is None else out.unionByName(part)), []
-    if block or out is None:
-        part = compare(block) if block else e.select(F.col("vec_id").alias("query"), "vec_id").where("false")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Cosine similarity of a stated query set (ids divisible by 100) against all vectors."""
+    e = load(spark, d, "embeddings").select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    return similarity.above(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2).select(F.col("query").alias("query"), F.col("id").alias("vec_id"))
 
 
 @query(

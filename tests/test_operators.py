@@ -172,11 +172,6 @@ def test_bootstrap_varies_like_a_plain_one(spark):
     assert np.abs(np.corrcoef(w) - np.eye(400)).max() < 0.3 and np.abs(np.corrcoef(w.T) - np.eye(400)).max() < 0.3
 
 
-def test_ngram_matches_clip(spark, rows):
-    p = spark.createDataFrame([("s", ["the", "the", "the"], ["the", "cat"])], "g string, c array<string>, r array<string>")
-    assert rows(reports.ngram_matches(p, "c", "r", ["g"], 1), "matched", "total") == [(1, 3)]
-
-
 def test_ngram_matches_against_all_references(spark, rows):
     from collections import Counter
 
@@ -199,3 +194,21 @@ def test_ngram_matches_against_all_references(spark, rows):
 def test_quota_and_order_of_nulls(spark):
     d = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "s string, i int")
     assert joins.quota_sample(d, "s", [F.col("i")], 1).count() == 2
+
+
+def test_similarity_matches_brute_force(spark, monkeypatch):
+    import random
+
+    from claimframe.operators import similarity
+
+    rng = random.Random(2)
+    data = [(i, [rng.gauss(0, 1) for _ in range(rng.choice([4, 4, 6]))]) for i in range(120)] + [(500, [0.0] * 4), (501, None), (None, [1.0] * 4), (502, [])]
+    d = spark.createDataFrame([r + ("clash",) for r in data], "id long, v array<float>, query string").repartition(3)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    real = [r for r in data[:120]]
+    want = {(a, b) for a, u in real if a % 5 == 0 for b, w in real if a != b and len(u) == len(w) and cos(u, w) >= 0.3}
+    for size in (8 << 20, 200):
+        monkeypatch.setattr(similarity, "GROUP_BYTES", size)
+        got = [(r["query"], r["id"]) for r in similarity.above(d.where("id % 5 = 0"), d, "id", "v", 0.3).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert similarity.above(d.where("false"), d, "id", "v", 0.3).count() == 0
