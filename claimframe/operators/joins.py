@@ -23,7 +23,7 @@ def accounting(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def closure(edges: DataFrame, depth: int) -> DataFrame:
     """(child, ancestor, steps): transitive closure of a shallow forest (child, parent), by joining it to itself.
 
-    A step count stops cycles at ``depth``.
+    Ancestors more than ``depth`` steps up are not reached, so that cycles end.
     """
     level = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     out, step = level, level
@@ -33,18 +33,18 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     return out.groupBy("child", "ancestor").agg(F.min("steps").alias("steps"))
 
 
-def components(edges: DataFrame, a: str, b: str, group: str, rounds: int = 25) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, group: str) -> DataFrame:
     """(group, node, component): connected components inside groups by label propagation with pointer jumping.
 
-    Labels fall to the least node id reached; each round is a join and an aggregation, and it stops when no label
-    changed. Lineage is cut by checkpoints every round.
+    Labels fall to the least node id reached; each round is a join and an aggregation, and the rounds end when no label
+    falls any more, which pointer jumping brings about in few of them. Lineage is cut by checkpoints every round.
     """
     from ..plans.session import stable
 
     e = edges.select(F.col(group).alias("g"), F.col(a).alias("x"), F.col(b).alias("y"))
     e = stable(e.unionByName(e.select("g", F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     lab = stable(e.groupBy("g", "x").agg(F.least(F.min("y"), F.first("x")).alias("c")))
-    for _ in range(rounds):
+    while True:
         near = e.join(lab.select("g", F.col("x").alias("y"), "c"), ["g", "y"]).groupBy("g", "x").agg(F.min("c").alias("n"))
         new = lab.join(near, ["g", "x"]).select("g", "x", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved"))
         jump = new.select("g", F.col("x").alias("c"), F.col("c").alias("cc"))
