@@ -337,13 +337,13 @@ def segments(texts: list[str], model: Profiles) -> Segments:
     return Segments(segs, np.repeat(np.arange(len(texts)), sizes), count(begins & ~space), count(~space) - han, han, *model.classify(c, seg, n))
 
 
-def languages(texts: list[str], model: Profiles) -> list[list[tuple[str, float, int]]]:
+def languages(texts: list[str], model: Profiles, measured: Segments | None = None) -> list[list[tuple[str, float, int]]]:
     """Of each text its languages as (language, confidence, letters), largest first.
 
     Another language than the text's first counts only with a whole and sure sentence and ``MIN_OTHER`` letters. A text without a
     whole sentence is judged by all its segments together.
     """
-    s = segments(texts, model)
+    s = segments(texts, model) if measured is None else measured
     n, L = len(texts), len(s.names)
     out: list[list[tuple[str, float, int]]] = [[] for _ in texts]
     if not L:
@@ -423,7 +423,8 @@ def text_segments(df: DataFrame, id_col: str, text_col: str, model: Profiles, sr
         out: dict[str, list] = {k: [] for k in ("src_table", "row_id", "segment", "begin", "stop", "lang", "confidence")}
         keep = [i for i, t in enumerate(cols["text"]) if t and t.strip()]
         texts = [cols["text"][i] for i in keep]
-        found, s = languages(texts, model), segments(texts, model)
+        s = segments(texts, model)
+        found = languages(texts, model, s)
         edge = np.searchsorted(s.owner, np.arange(len(texts) + 1))
         for k, i in enumerate(keep):
             if not found[k]:
